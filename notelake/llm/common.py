@@ -41,15 +41,15 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def map_arrow(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """Applies f to each Arrow batch; f gets a dict of Python lists and returns one. rows per batch may change."""
+def map_arrow(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], schema: str, most: int = 8 << 20) -> DataFrame:
+    """Applies f to slices of about `most` bytes of each Arrow batch; f gets a dict of Python lists and returns one, of any length."""
     spark_schema = _struct(schema)
     target = _arrow(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # a batch is handled in pieces of some MB, so that very long texts do not pile up
-            for piece in pieces(b):
+            for piece in pieces(b, most):
                 out = f({n: piece.column(i).to_pylist() for i, n in enumerate(piece.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in target], schema=target)
 

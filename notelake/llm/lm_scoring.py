@@ -1,7 +1,7 @@
 """Operator 4: language-model scoring by online logistic mixing of hashed-context bit predictors.
 
-Text (A-Z in lower case) is coded byte by byte, with an end sign, along a Huffman tree of the training bytes; each branch
-is a bit. For every bit, three predictors look up how often it was 0 or 1 in their contexts: the last two bytes, the last
+Text (A-Z in lower case) is coded byte by byte, with an end sign, along Huffman trees of the training bytes (one for each
+byte that may come before); each branch is a bit. For every bit, three predictors look up how often it was 0 or 1 in their contexts: the last two bytes, the last
 four, and the word so far. Their logits are summed with weights chosen by how much the longer contexts have seen; the
 weights follow the text (online gradient steps, block by block), and a last stage corrects the mixed probability by what
 came true at that level.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import as_table, held_out, map_arrow, pieces
 
 END = 256
-SIZES = (1 << 18, 1 << 20, 1 << 20)  # slots of the three predictors, whatever the corpus
+SIZES = (1 << 18, 1 << 19, 1 << 19)  # slots of the three predictors, whatever the corpus
 CHUNK = 1 << 14  # slots that travel together
 TOGETHER = 64 << 10  # bytes of text that are turned into bits at once: they fit the processor's cache
 BLOCK = 32  # bits between two steps of the weights
@@ -90,11 +90,15 @@ def contexts(s: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 
 
 class Coder:
-    """Turns texts into bits with their contexts."""
+    """Turns texts into bits with their contexts. counts: how often each of the 257 symbols follows each byte (0 at the start)."""
 
-    def __init__(self, counts: list[int]):
-        tree = Tree(counts)
-        self.length, self.start, self.node, self.bit = tree.length, tree.start, tree.node * MUL[2], tree.bit
+    def __init__(self, counts: np.ndarray):
+        trees = [Tree(c.tolist()) for c in counts]
+        self.length = np.concatenate([t.length for t in trees])
+        self.start = np.concatenate([[0], np.cumsum(self.length)])
+        # a node's number need not tell its tree: every context does
+        self.node = np.concatenate([t.node for t in trees]) * MUL[2]
+        self.bit = np.concatenate([t.bit for t in trees])
 
     def bits_of(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """For each bit of all texts: its slot in each predictor's table, and its value; and the number of bits of each text."""
@@ -106,9 +110,13 @@ class Coder:
             s[at : at + len(t)] = np.frombuffer(t, np.uint8)
             at += len(t) + 1
         s[ends - 1] = END
-        length = self.length[s]
+        before = np.zeros(len(s), np.int64)
+        before[1:] = s[:-1]
+        before[before == END] = 0
+        code = before * 257 + s
+        length = self.length[code]
         sums = np.cumsum(length)
-        offset = np.repeat(self.start[s] - (sums - length), length)
+        offset = np.repeat(self.start[code] - (sums - length), length)
         offset += np.arange(len(offset))
         node = self.node[offset]
         slots = []
@@ -201,7 +209,6 @@ class MixModel:
             for x, w in zip(bx, weights, strict=True):
                 np.add.at(w, flat, (error * x).ravel())
             np.add.at(level, slot.ravel(), wrong.ravel())
-            np.clip(level, 1e-4, 1 - 1e-4, out=level)
         return cost / math.log(2)
 
 
@@ -218,18 +225,20 @@ def batches_of(texts: list[bytes]):
         yield held
 
 
-def lowered(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "replace").lower()
+def lowered(text: bytes | None) -> bytes:
+    return (text or b"").lower()
 
 
-def byte_counts(words, ends: int) -> list[int]:
-    """About how often each byte stands in the commonest words; only the shape of the code tree depends on it."""
-    counts = [0] * 257
-    for r in words:
-        for x in bytes(r.word):
-            counts[x] += r.c
-        counts[32] += r.c
-    counts[END] = ends
+def byte_counts(common: list[tuple[bytes, int]], ends: int) -> np.ndarray:
+    """About how often each symbol follows each byte, from the commonest words; only the shape of the trees depends on it."""
+    counts = np.zeros((256, 257), np.int64)
+    for w, c in common:
+        for a, b in zip(b" " + w, w + b" ", strict=True):
+            counts[a, b] += c
+    starts = counts[32].copy()
+    counts[10, :256] += starts[:256] // 16
+    counts[0] += starts // 1000
+    counts[:, END] += ends // 64
     return counts
 
 
@@ -302,16 +311,24 @@ def score_lm(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     not read. Without training rows all counts are zero and the mixed model starts from even odds.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), folds, fold))
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("held_out", held_out(F.col("doc_id"), folds, fold))
     training = rows.where(~F.col("held_out"))
     counts = as_table(word_counts(training), "words")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ends = training.count()
     n, v = (totals.n or 0) + ends, totals.v + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(TOP_WORDS).collect()
-    common = {bytes(r.word): math.log10(r.c + 1) for r in top}
-    model = fit_mix(training, Coder(byte_counts(top, ends)))
-    bc = docs.sparkSession.sparkContext.broadcast((common, model))
+    # words are ranked in steps of their count's logarithm, some thousand at most; whole steps are taken, from the top, as
+    # long as TOP_WORDS holds them, and nothing but those words reaches the driver
+    step = F.floor(F.log2("c") * 256)
+    least, words = 1 << 20, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        words += r.words
+        if words > TOP_WORDS:
+            break
+        least = r.step
+    common = sorted((bytes(r.word), r.c) for r in counts.where(step >= least).collect())
+    model = fit_mix(training, Coder(byte_counts(common, ends)))
+    bc = docs.sparkSession.sparkContext.broadcast(({w: math.log10(c + 1) for w, c in common}, model))
     below = math.log10(n + v + 1)
 
     def f(cols):
@@ -331,7 +348,7 @@ def score_lm(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
                 out[key].append(x)
         return out
 
-    first = map_arrow(rows.select("doc_id", "text", "held_out"), f, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, size long, rare array<struct<word:binary,k:long>>")
+    first = map_arrow(rows.select("doc_id", "text", "held_out"), f, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, size long, rare array<struct<word:binary,k:long>>", most=2 << 20)
     first = as_table(first.withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
     found = rare.join(counts, "word").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("base_more"))
