@@ -176,7 +176,7 @@ def export_bundles(bundles: DataFrame, folder: str) -> DataFrame:
             names, sizes = b.column(0).to_pylist(), []
             for i, name in enumerate(names):
                 data = b.column(1)[i].as_py()
-                with target.open_output_stream(f"{base}/{name}.warc.zst") as f:
+                with target.open_output_stream(f"{base}/{name}.warc.zst", compression=None) as f:
                     f.write(data)
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([f"{folder}/{n}.warc.zst" for n in names]), pa.array(sizes, pa.int64())], ["bundle", "path", "bytes"])
