@@ -22,10 +22,10 @@ from .common import as_table, held_out, map_arrow, pieces
 END = 256
 SIZES = (1 << 18, 1 << 19, 1 << 19)  # slots of the three predictors, whatever the corpus
 CHUNK = 1 << 14  # slots that travel together
-TOGETHER = 64 << 10  # bytes of text that are turned into bits at once: they fit the processor's cache
-BLOCK = 32  # bits between two steps of the weights
+TOGETHER = 32 << 10  # bytes of text that are turned into bits at once: they fit the processor's cache
+BLOCK = 64  # bits between two steps of the weights
 SEGMENT = 8192  # bits after which the weights start anew
-LANES = 1024  # segments that go on side by side
+LANES = 256  # segments that go on side by side
 GATES = 9
 RATE, LEVELS, TRUST = 0.02, 24, 0.02
 TOP_WORDS = 150_000  # the commonest words, whose counts every task holds; the others are joined
@@ -97,8 +97,8 @@ class Coder:
         self.length = np.concatenate([t.length for t in trees])
         self.start = np.concatenate([[0], np.cumsum(self.length)])
         # a node's number need not tell its tree: every context does
-        self.node = np.concatenate([t.node for t in trees]) * MUL[2]
-        self.bit = np.concatenate([t.bit for t in trees])
+        bit = np.concatenate([t.bit for t in trees])
+        self.branch = (np.concatenate([t.node for t in trees]) * MUL[2]) & ~np.uint32(1) | bit  # the lowest digit is the bit
 
     def bits_of(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """For each bit of all texts: its slot in each predictor's table, and its value; and the number of bits of each text."""
@@ -118,16 +118,18 @@ class Coder:
         sums = np.cumsum(length)
         offset = np.repeat(self.start[code] - (sums - length), length)
         offset += np.arange(len(offset))
-        node = self.node[offset]
+        branch = self.branch.take(offset)
+        bit = (branch & np.uint32(1)).view(np.int32)
+        branch &= ~np.uint32(1)
         slots = []
         for c, size in zip(contexts(s, ends - sizes), SIZES, strict=True):
             h = np.repeat(c * MUL[0], length)
-            h ^= node
+            h ^= branch
             h *= MUL[1]
             h ^= h >> np.uint32(15)
             h &= np.uint32(size - 1)
-            slots.append(h)
-        return slots, self.bit[offset], np.diff(sums[ends - 1], prepend=0)
+            slots.append(h.view(np.int32))
+        return slots, bit, np.diff(sums[ends - 1], prepend=0)
 
 
 #: starting weights by what the second and third contexts have seen (never, up to eight times, more often)
@@ -139,12 +141,13 @@ class MixModel:
 
     def __init__(self, coder: Coder, counts: list[tuple[np.ndarray, np.ndarray]]):
         self.coder = coder
-        self.logit, self.seen = [], []
+        self.logit = []
         for zeros, ones in counts:
             n = zeros + ones
             p = np.clip((ones + 0.4) / (n + 0.8), 1e-5, 1 - 1e-5)
-            self.logit.append((np.log(p / (1 - p)) * (n > 0)).astype(np.float32))
-            self.seen.append(np.where(n > 8, 2, np.where(n > 0, 1, 0)).astype(np.int16))
+            logit = (np.log(p / (1 - p)) * (n > 0)).astype(np.float32).view(np.int32)
+            # the two lowest digits of a logit tell what its slot has seen: never, up to eight times, more often
+            self.logit.append((logit & ~3 | np.where(n > 8, 2, np.where(n > 0, 1, 0))).astype(np.int32).view(np.float32))
 
     def bits_of(self, texts: list[bytes]) -> np.ndarray:
         """Bits that each text and its end sign cost. Segments of SEGMENT bits keep their contexts but start with fresh weights."""
@@ -152,8 +155,8 @@ class MixModel:
         first = 0
         for group in batches_of(texts):
             slots, y, sizes = self.coder.bits_of(group)
-            xs = [l[x] for l, x in zip(self.logit, slots, strict=True)]
-            gate = (self.seen[1][slots[1]] + 3 * self.seen[2][slots[2]]) * np.int16(2) + y
+            xs = [l.take(x, mode="clip") for l, x in zip(self.logit, slots, strict=True)]
+            gate = (((xs[1].view(np.int32) & 3) + 3 * (xs[2].view(np.int32) & 3)) * 2 + y).astype(np.int16)
             at = 0
             for k, n in enumerate(sizes.tolist()):
                 for s in range(0, n, SEGMENT):
@@ -256,7 +259,7 @@ def fit_mix(training: DataFrame, coder: Coder) -> MixModel:
                 for group in batches_of([lowered(t) for t in p.column(0).to_pylist()]):
                     slots, y, _ = coder.bits_of(group)
                     for s, table in zip(slots, tables, strict=True):
-                        np.add.at(table.reshape(-1), s.astype(np.int64) * 2 + y, np.uint32(1))
+                        np.add.at(table.reshape(-1), s * 2 + y, np.uint32(1))
         flat = np.concatenate([t.reshape(-1) for t in tables]).reshape(-1, CHUNK * 2)
         some = np.flatnonzero(flat.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([flat[i].tobytes() for i in some], pa.binary())], ["chunk", "counts"])
