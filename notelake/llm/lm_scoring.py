@@ -67,10 +67,11 @@ def contexts(s: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     z[4:] = s
     z[z == END] = 0
     back = [z[4 - k : 4 - k + n].copy() for k in (1, 2, 3, 4)]
-    for k in (1, 2, 3, 4):
-        for j in range(k):
-            at = starts + j
-            back[k - 1][at[at < n]] = 0 if j == 0 else back[k - 1][at[at < n]] * (np.searchsorted(starts, at[at < n], "right") > np.arange(1, len(starts) + 1)[at < n])
+    sizes = np.diff(starts, append=n)
+    for j in range(4):
+        at = starts[sizes > j] + j
+        for c in back[j:]:
+            c[at] = 0
     c1, c2, c3, c4 = back
     two = c2 << np.uint32(8) | c1
     four = (two | c3 << np.uint32(16) | c4 << np.uint32(24)) * MUL[0]
@@ -195,12 +196,12 @@ class MixModel:
             bits = (code & 1).astype(np.float32)
             g = (code >> 1) + gates[:live]
             bx = [x[:live, s : s + BLOCK] for x in xs]
-            logit = bx[0] * weights[0][g]
+            logit = bx[0] * weights[0].take(g, mode="clip")
             for x, w in zip(bx[1:], weights[1:], strict=True):
-                logit += x * w[g]
+                logit += x * w.take(g, mode="clip")
             p = 1 / (1 + np.exp(-logit))
             slot = np.clip((logit * np.float32(LEVELS / 12) + np.float32(LEVELS / 2)).astype(np.int64), 0, LEVELS - 1) + lane[:live]
-            known = level[slot]
+            known = level.take(slot, mode="clip")
             paid = -np.log(np.maximum(np.abs(half * (p + known) - (1 - bits)), np.float32(1e-6)))
             error, wrong = rate * (bits - p), trust * (bits - known)
             if whole < live:  # lanes that end in this block
@@ -296,7 +297,7 @@ def word_counts(training: DataFrame) -> DataFrame:
             for p in pieces(b):
                 for t in p.column(0).to_pylist():
                     held.update(lowered(t).split())
-                if len(held) > 400_000:
+                if len(held) > 600_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], schema=schema)
                     held = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], schema=schema)
