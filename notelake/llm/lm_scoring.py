@@ -339,24 +339,23 @@ def score_lm(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
         common, model = bc.value
         raws = [lowered(t) for t in cols["text"]]
         bits = model.bits_of(raws)
-        out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base", "score", "size", "rare")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base", "score", "size", "rare", "times")}
         for doc_id, held, raw, b in zip(cols["doc_id"], cols["held_out"], raws, bits.tolist(), strict=True):
             words = raw.split()
             logs = list(map(common.get, words))
             missing = Counter(w for w, c in zip(words, logs, strict=True) if c is None) if None in logs else {}
-            rare = [{"word": w, "k": k} for w, k in missing.items()]
             total = len(words) + 1
             known = total - sum(missing.values()) - (ends == 0)
             base = math.log10(ends + 1) + math.fsum(c for c in logs if c is not None)
-            for key, x in (("doc_id", doc_id), ("held_out", held), ("n_tokens", total), ("n_known", known), ("base", base - total * below), ("score", -b * math.log10(2)), ("size", len(raw)), ("rare", rare)):
+            for key, x in (("doc_id", doc_id), ("held_out", held), ("n_tokens", total), ("n_known", known), ("base", base - total * below), ("score", -b * math.log10(2)), ("size", len(raw)), ("rare", list(missing)), ("times", list(missing.values()) if missing else [])):
                 out[key].append(x)
         return out
 
-    first = map_arrow(rows.select("doc_id", "text", "held_out"), f, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, size long, rare array<struct<word:binary,k:long>>", most=2 << 20)
+    first = map_arrow(rows.select("doc_id", "text", "held_out"), f, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, size long, rare array<binary>, times array<int>", most=2 << 20)
     first = as_table(first.withColumn("row", F.monotonically_increasing_id()), "scores")
-    rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k")
+    rare = first.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("k"))).alias("r")).select("row", "r.word", "r.k")
     found = rare.join(counts, "word").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("base_more"))
-    both = first.drop("rare").join(found, "row", "left")
+    both = first.drop("rare", "times").join(found, "row", "left")
     return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") / math.log10(2) / F.greatest("size", F.lit(1))).alias("bits_per_byte"))
 
 
