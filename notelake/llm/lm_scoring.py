@@ -1,7 +1,7 @@
 """Operator 4: language-model scoring by online logistic mixing of hashed-context bit predictors.
 
 Text (A-Z in lower case) is coded byte by byte, with an end sign, along Huffman trees of the training bytes (one for each
-byte that may come before); each branch is a bit. For every bit, three predictors look up how often it was 0 or 1 in their contexts: the last two bytes, the last
+byte that may come before, and one for each of the commonest pairs of bytes before); each branch is a bit. For every bit, three predictors look up how often it was 0 or 1 in their contexts: the last two bytes, the last
 four, and the word so far. Their logits are summed with weights chosen by how much the longer contexts have seen; the
 weights follow the text (online gradient steps, block by block), and a last stage corrects the mixed probability by what
 came true at that level.
@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import as_table, held_out, map_arrow, pieces
 
 END = 256
-SIZES = (1 << 18, 1 << 19, 1 << 19)  # slots of the three predictors, whatever the corpus
+DIGITS = (18, 19, 19)  # binary digits of a slot's number in the three predictors, whatever the corpus
+SIZES = tuple(1 << d for d in DIGITS)
+PAIRS = 768  # pairs of bytes with a tree of their own
 CHUNK = 1 << 14  # slots that travel together
 TOGETHER = 32 << 10  # bytes of text that are turned into bits at once: they fit the processor's cache
 BLOCK = 64  # bits between two steps of the weights
@@ -60,6 +63,15 @@ class Tree:
         self.bit = np.array([b for p in paths for _, b in p], np.uint8)
 
 
+@lru_cache(maxsize=4)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse."""
+    out = np.ones((2, n), np.uint32)
+    out[:, 1:] = [[BASE], [BACK]]
+    np.multiply.accumulate(out, axis=1, out=out)
+    return out[0], out[1]
+
+
 def contexts(s: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     """A hash of each predictor's context for every symbol; texts begin at starts, and none sees the one before."""
     n = len(s)
@@ -80,21 +92,19 @@ def contexts(s: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     fresh = (c1 == 32) | ((c1 >= 9) & (c1 <= 13))
     fresh[starts] = True
     begin = np.maximum.accumulate(np.where(fresh, at, 0))
-    power, inverse = np.ones(n, np.uint32), np.ones(n, np.uint32)
-    if n > 1:
-        np.multiply.accumulate(np.full(n - 1, BASE), out=power[1:])
-        np.multiply.accumulate(np.full(n - 1, BACK), out=inverse[1:])
+    power, inverse = powers(1 << n.bit_length()) if n <= 4 * TOGETHER else powers.__wrapped__(n)
     total = np.zeros(n, np.uint32)
-    np.add.accumulate(((z[4:] + np.uint32(1)) * power)[:-1], out=total[1:])
+    np.add.accumulate(((z[4:] + np.uint32(1)) * power[:n])[:-1], out=total[1:])
     word = (total - total[begin]) * inverse[begin] + (at - begin).astype(np.uint32) * MUL[2]
     return [two, four, word]
 
 
 class Coder:
-    """Turns texts into bits with their contexts. counts: how often each of the 257 symbols follows each byte (0 at the start)."""
+    """Turns texts into bits with their contexts. trees: a row of symbol counts for each tree; row: the tree of each pair of bytes before."""
 
-    def __init__(self, counts: np.ndarray):
-        trees = [Tree(c.tolist()) for c in counts]
+    def __init__(self, trees: np.ndarray, row: np.ndarray):
+        self.row = row * 257
+        trees = [Tree(c.tolist()) for c in trees]
         self.length = np.concatenate([t.length for t in trees])
         self.start = np.concatenate([[0], np.cumsum(self.length)])
         # a node's number need not tell its tree: every context does
@@ -111,24 +121,24 @@ class Coder:
             s[at : at + len(t)] = np.frombuffer(t, np.uint8)
             at += len(t) + 1
         s[ends - 1] = END
-        before = np.zeros(len(s), np.int64)
-        before[1:] = s[:-1]
-        before[before == END] = 0
-        code = before * 257 + s
+        hashes = contexts(s, ends - sizes)
+        code = self.row[hashes[0]] + s  # the first context is the pair of bytes before
         length = self.length[code]
         sums = np.cumsum(length)
-        offset = np.repeat(self.start[code] - (sums - length), length)
+        owner = np.zeros(int(sums[-1]), np.int64)  # the symbol of each bit; np.repeat would take longer
+        owner[sums[:-1]] = 1
+        np.cumsum(owner, out=owner)
+        offset = (self.start[code] - (sums - length)).take(owner, mode="clip")
         offset += np.arange(len(offset))
-        branch = self.branch.take(offset)
+        branch = self.branch.take(offset, mode="clip")
         bit = (branch & np.uint32(1)).view(np.int32)
         branch &= ~np.uint32(1)
         slots = []
-        for c, size in zip(contexts(s, ends - sizes), SIZES, strict=True):
-            h = np.repeat(c * MUL[0], length)
+        for c, digits in zip(hashes, DIGITS, strict=True):
+            h = (c * MUL[0]).take(owner, mode="clip")
             h ^= branch
             h *= MUL[1]
-            h ^= h >> np.uint32(15)
-            h &= np.uint32(size - 1)
+            h >>= np.uint32(32 - digits)  # the highest digits depend on all others
             slots.append(h.view(np.int32))
         return slots, bit, np.diff(sums[ends - 1], prepend=0)
 
@@ -143,12 +153,12 @@ class MixModel:
     def __init__(self, coder: Coder, counts: list[tuple[np.ndarray, np.ndarray]]):
         self.coder = coder
         self.logit = []
-        for zeros, ones in counts:
+        for (zeros, ones), place in zip(counts, (0, 2, 6), strict=True):
             n = zeros + ones
             p = np.clip((ones + 0.4) / (n + 0.8), 1e-5, 1 - 1e-5)
             logit = (np.log(p / (1 - p)) * (n > 0)).astype(np.float32).view(np.int32)
-            # the two lowest digits of a logit tell what its slot has seen: never, up to eight times, more often
-            self.logit.append((logit & ~3 | np.where(n > 8, 2, np.where(n > 0, 1, 0))).astype(np.int32).view(np.float32))
+            # the four lowest digits of a logit tell what its slot has seen (never, up to eight times, more often), times its place in the gate
+            self.logit.append((logit & ~15 | np.where(n > 8, 2, np.where(n > 0, 1, 0)) * place).astype(np.int32).view(np.float32))
 
     def bits_of(self, texts: list[bytes]) -> np.ndarray:
         """Bits that each text and its end sign cost. Segments of SEGMENT bits keep their contexts but start with fresh weights."""
@@ -157,7 +167,7 @@ class MixModel:
         for group in batches_of(texts):
             slots, y, sizes = self.coder.bits_of(group)
             xs = [l.take(x, mode="clip") for l, x in zip(self.logit, slots, strict=True)]
-            gate = (((xs[1].view(np.int32) & 3) + 3 * (xs[2].view(np.int32) & 3)) * 2 + y).astype(np.int16)
+            gate = ((xs[1].view(np.int32) & 15) + (xs[2].view(np.int32) & 15) + y).astype(np.int16)
             at = 0
             for k, n in enumerate(sizes.tolist()):
                 for s in range(0, n, SEGMENT):
@@ -178,8 +188,9 @@ class MixModel:
         n = len(lanes)
         size = np.array([len(x[0]) for x in lanes])
         width = -(-int(size[0]) // BLOCK) * BLOCK
-        xs = [np.zeros((n, width), np.float32) for _ in range(3)]
-        codes = np.zeros((n, width), np.int16)
+        spare = 32  # rows of a power of two would share the cache's lines
+        xs = [np.zeros((n, width + spare), np.float32) for _ in range(3)]
+        codes = np.zeros((n, width + spare), np.int16)
         for i, (a, b, c, code) in enumerate(lanes):
             k = len(code)
             xs[0][i, :k], xs[1][i, :k], xs[2][i, :k], codes[i, :k] = a, b, c, code
@@ -200,15 +211,18 @@ class MixModel:
             for x, w in zip(bx[1:], weights[1:], strict=True):
                 logit += x * w.take(g, mode="clip")
             p = 1 / (1 + np.exp(-logit))
-            slot = np.clip((logit * np.float32(LEVELS / 12) + np.float32(LEVELS / 2)).astype(np.int64), 0, LEVELS - 1) + lane[:live]
+            slot = np.clip(logit * np.float32(LEVELS / 12) + np.float32(LEVELS / 2), 0, LEVELS - 1).astype(np.int64) + lane[:live]
             known = level.take(slot, mode="clip")
-            paid = -np.log(np.maximum(np.abs(half * (p + known) - (1 - bits)), np.float32(1e-6)))
+            right = np.maximum(np.abs(half * (p + known) - (1 - bits)), np.float32(1e-6))
             error, wrong = rate * (bits - p), trust * (bits - known)
             if whole < live:  # lanes that end in this block
                 tail = steps < (size[whole:live] - s)[:, None]
-                for z in (paid, error, wrong):
+                for z in (error, wrong):
                     z[whole:] *= tail
-            cost[:live] += paid.sum(1)
+                right[whole:][~tail] = 1
+            for k in (BLOCK // 2, BLOCK // 4):  # four chances are multiplied for one logarithm
+                right = right[:, :k] * right[:, k:]
+            cost[:live] -= np.log(right).sum(1)
             flat = g.ravel()
             for x, w in zip(bx, weights, strict=True):
                 np.add.at(w, flat, (error * x).ravel())
@@ -233,17 +247,36 @@ def lowered(text: bytes | None) -> bytes:
     return (text or b"").lower()
 
 
-def byte_counts(common: list[tuple[bytes, int]], ends: int) -> np.ndarray:
-    """About how often each symbol follows each byte, from the commonest words; only the shape of the trees depends on it."""
-    counts = np.zeros((256, 257), np.int64)
-    for w, c in common:
-        for a, b in zip(b" " + w, w + b" ", strict=True):
-            counts[a, b] += c
-    starts = counts[32].copy()
-    counts[10, :256] += starts[:256] // 16
-    counts[0] += starts // 1000
-    counts[:, END] += ends // 64
-    return counts
+def tree_counts(common: list[tuple[bytes, int]], ends: int) -> tuple[np.ndarray, np.ndarray]:
+    """About how often each symbol follows each byte, then each of the PAIRS commonest pairs of bytes, from the commonest
+    words; and the row of each pair (of its last byte where it has none). Only the shape of the trees depends on it."""
+    text = np.frombuffer(b" ".join([b"", *(w for w, _ in common), b""]), np.uint8).astype(np.int64)
+    times = np.repeat(np.array([c for _, c in common], np.float64), np.array([len(w) + 1 for w, _ in common], np.int64))
+    single = np.zeros((256, 257))
+    np.add.at(single.reshape(-1), text[:-1] * 257 + text[1:], times)
+    pair = text[:-2] * 256 + text[1:-1]
+    inside = text[1:-1] != 32  # what follows a blank is the next word of a sorted list, not of a text
+    pair, after, times = pair[inside], text[2:][inside], times[1:][inside]
+    often = np.bincount(pair, times, 1 << 16)
+    chosen = np.argsort(-often, kind="stable")[:PAIRS]
+    chosen = chosen[often[chosen] > 0]
+    row = np.tile(np.arange(256), 256)
+    row[chosen] = np.arange(len(chosen)) + 256
+    white = [0, *range(9, 14)]
+    row.reshape(256, 256)[white] = row.reshape(256, 256)[32]
+    place = np.full(1 << 16, -1)
+    place[chosen] = np.arange(len(chosen))
+    double = np.zeros((len(chosen), 257))
+    own = place[pair] >= 0
+    np.add.at(double.reshape(-1), place[pair[own]] * 257 + after[own], times[own])
+    # a byte that no common word has after this pair is as likely as after its last byte, with a 32nd of the weight
+    last = single[chosen % 256]
+    double += last / np.maximum(last.sum(1, keepdims=True), 1) * (often[chosen] / 32)[:, None]
+    starts = single[32].copy()
+    single[10] += starts / 16
+    single[0] += starts / 1000
+    single[:, END] += ends / 64
+    return np.concatenate([single, double]), row
 
 
 def fit_mix(training: DataFrame, coder: Coder) -> MixModel:
@@ -259,8 +292,9 @@ def fit_mix(training: DataFrame, coder: Coder) -> MixModel:
             for p in pieces(b, 4 << 20):
                 for group in batches_of([lowered(t) for t in p.column(0).to_pylist()]):
                     slots, y, _ = coder.bits_of(group)
+                    ones, wide = np.ones(len(y), np.uint32), y.astype(np.int64)
                     for s, table in zip(slots, tables, strict=True):
-                        np.add.at(table.reshape(-1), s * 2 + y, np.uint32(1))
+                        np.add.at(table.reshape(-1), s * np.int64(2) + wide, ones)
         flat = np.concatenate([t.reshape(-1) for t in tables]).reshape(-1, CHUNK * 2)
         some = np.flatnonzero(flat.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([flat[i].tobytes() for i in some], pa.binary())], ["chunk", "counts"])
@@ -331,7 +365,7 @@ def score_lm(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
             break
         least = r.step
     common = sorted((bytes(r.word), r.c) for r in counts.where(step >= least).collect())
-    model = fit_mix(training, Coder(byte_counts(common, ends)))
+    model = fit_mix(training, Coder(*tree_counts(common, ends)))
     bc = docs.sparkSession.sparkContext.broadcast(({w: math.log10(c + 1) for w, c in common}, model))
     below = math.log10(n + v + 1)
 

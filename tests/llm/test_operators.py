@@ -132,7 +132,7 @@ def test_language_model(docs, empty):
 
 def test_mixing_is_a_distribution_and_learns():
     texts = [b"the thin then ", b"on the other"] * 50
-    coder = lm_scoring.Coder(lm_scoring.byte_counts([(b"the", 9), (b"on", 5)], 3))
+    coder = lm_scoring.Coder(*lm_scoring.tree_counts([(b"the", 9), (b"on", 5)], 3))
     tables = [np.zeros((s, 2), np.int64) for s in lm_scoring.SIZES]
     blank = lm_scoring.MixModel(coder, [(t[:, 0], t[:, 1]) for t in tables])
     total = sum(2.0 ** -blank.bits_of([bytes([a])])[0] for a in range(256))
