@@ -1,7 +1,11 @@
-"""Operator 5: SimHash near-duplicates. Fingerprints link by bit-sliced comparison inside pigeonhole buckets."""
+"""Operator 5: SimHash near-duplicates. Fingerprints link by bit-sliced comparison inside pigeonhole buckets.
+
+Where a similarity is asked for, fingerprints decide nothing: texts whose shingle sets agree in a band of minima (MinHash)
+meet in buckets, and their whole sets are compared there."""
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -14,8 +18,8 @@ from .components import components
 
 BITS = 64
 TILE = 4096  # members of a bucket that are compared with one another in one task, at most
-SKETCH = 128  # bins of the sketch that verifies similarity
-SKETCH_TILE = 512
+BANDS, ROWS = 32, 4  # of minima: two sets of similarity s share a bucket but for a chance of (1 - s^4)^32, 5e-8 at 0.8
+SKETCH_TILE = 256  # sets on either side of a comparison, at most
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -33,9 +37,8 @@ def shingle_hashes(text: str, size: int, seed: int = 42) -> np.ndarray:
     return np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts, ends[size - 1 :], strict=False)], np.uint64)
 
 
-def fingerprint(text: str, size: int) -> int:
-    """A bit is 1 if it is set in over half of the hashes; 0 for a text without words. As a signed 64-bit number."""
-    h = shingle_hashes(text, size)
+def fingerprint(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; 0 without any. As a signed 64-bit number."""
     if not len(h):
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -169,79 +172,126 @@ def fingerprint_links(fps: DataFrame, radius: int) -> DataFrame:
     return map_groups(dealt, ["band", "value", "lo", "hi"], compare, "a long, b long")
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """For each of SKETCH bins by the hash's low bits: 16 bits of the smallest hash in it, 0 for an empty bin."""
-    out = np.full(SKETCH, ALL)
-    np.minimum.at(out, (h % np.uint64(SKETCH)).astype(np.int64), h)
-    return np.where(out == ALL, 0, (out >> np.uint64(16)) % np.uint64(65535) + np.uint64(1)).astype(np.uint16).tobytes()
-
-
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Whether the share of equal bins among those not empty on both sides, an estimate of the sets' Jaccard similarity, reaches least."""
-    some = ((a != 0) | (b != 0)).sum(1)
-    return (a == b).sum(1) - (SKETCH - some) >= least * np.maximum(some, 1)
-
-
-def verified_links(members: DataFrame, radius: int, least: float) -> DataFrame:
-    """(a, b): spanning links between the nodes of members (root, fp, sketch, node) of one root whose fingerprints differ in at most
-    radius bits and whose sketches are similar. Large classes are compared tile by tile, each pair of tiles in a group."""
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / SKETCH_TILE).cast("int").alias("tiles"))
-    dealt = members.join(sizes, "root").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("root", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "fp", "sketch", "node", "tile")
+@lru_cache(maxsize=1)
+def permutations() -> np.ndarray:
+    """An odd factor for each of the BANDS * ROWS orders of the hashes."""
+    return np.random.default_rng(5).integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
+
+
+def band_keys(members: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band: of the smallest hashes of the set in ROWS orders. No keys for an empty set."""
+    if not len(members):
+        return []
+    x = (members >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for s in range(0, len(x), 1024):
+        np.minimum(least, (x[None, s : s + 1024] * permutations()).min(1), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(r.tobytes(), i) - (1 << 63) for i, r in enumerate(rows)]
+
+
+def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index arrays of the pairs of sets (sorted, none empty) whose Jaccard similarity reaches least, from whole sets."""
+    n, m = len(left), len(right)
+    sizes = np.array([len(x) for x in left])[:, None], np.array([len(x) for x in right])[None, :]
+    shared = np.zeros((n, m))
+    if n * m <= 64:
+        for i, x in enumerate(left):
+            for j, y in enumerate(right):
+                if min(len(x), len(y)) >= least * max(len(x), len(y)) - 1:
+                    shared[i, j] = len(np.intersect1d(x, y, assume_unique=True))
+    else:
+        _, name = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+        owner = np.repeat(np.arange(n + m), [len(x) for x in (*left, *right)])
+        first = owner < n
+        both = (np.bincount(name[first], minlength=name.max() + 1) > 0) & (np.bincount(name[~first], minlength=name.max() + 1) > 0)
+        held = both[name]
+        name, owner = (np.cumsum(both) - 1)[name[held]], owner[held]
+        order = np.argsort(name, kind="stable")
+        name, owner = name[order], owner[order]
+        for s in range(0, int(both.sum()), 4096):  # a matrix of sets by shared hashes, some columns at a time
+            part = slice(*np.searchsorted(name, [s, s + 4096]))
+            holds = np.zeros((n + m, 4096), np.float32)
+            holds[owner[part], name[part] - s] = 1
+            shared += holds[:n] @ holds[n:].T
+    return np.nonzero(shared / (sizes[0] + sizes[1] - shared) >= least)
+
+
+def similar_links(found: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """(a, b): links between the nodes (distinct shingle sets) of found (doc_id, node, key, bands) whose sets' similarity reaches least.
+
+    Buckets are named by bands; of those with the same members one is compared. Large buckets are compared tile by tile,
+    each pair of tiles in a group, which emits a spanning forest. Sets are made again from the texts (by their MD5, key) of the
+    nodes that share a bucket.
+    """
+    nodes = as_table(found.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.first("bands").alias("bands")).select("node", "rep.*", "bands"), "nodes")
+    each = nodes.select("node", F.explode("bands").alias("band"))
+    sizes = each.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
+    once = sizes.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / SKETCH_TILE).cast("int").alias("tiles"))
+    buckets = as_table(each.join(once, "band"), "buckets")
+    wanted = nodes.select("node", F.col("doc_id").alias("rep"), "key").join(buckets.select("node").distinct(), "node", "left_semi")
+    texts = docs.select("doc_id", text_key().alias("of"), "text")  # joined by id as well, so that a text's many copies do not meet
+    texts = texts.join(wanted, (texts["of"] == wanted["key"]) & texts["doc_id"].eqNullSafe(wanted["rep"])).dropDuplicates(["node"]).select("node", "text")
+    sets = as_table(map_arrow(texts, lambda c: {"node": c["node"], "hashes": [np.unique(shingle_hashes(x or "", size)).tobytes() for x in c["text"]]}, "node long, hashes binary"), "sets")
+    dealt = buckets.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("node", "band", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile").join(sets, "node")
 
     def compare(key, rows):
-        x = np.array(rows["node"], np.int64)
-        u, k = np.array(rows["fp"], np.int64).view(np.uint64), np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(-1, SKETCH)
-        tile = np.array(rows["tile"])
+        x, tile = np.array(rows["node"], np.int64), np.array(rows["tile"])
+        order = np.argsort(x)
+        x, tile = x[order], tile[order]
         left, right = np.flatnonzero(tile == key[1]), np.flatnonzero(tile == key[2])
         if not len(left) or not len(right):
             return
-        a, b = near(u[left], bit_planes(u[right]), len(right), radius)
-        a, b = left[a], right[b]
-        ok = np.concatenate([similar(k[a[s : s + 65536]], k[b[s : s + 65536]], least) for s in range(0, len(a), 65536)]) if len(a) else np.zeros(0, bool)
-        order = np.argsort(x)
-        at = np.empty(len(x), np.int64)
-        at[order] = np.arange(len(x))
-        root = spanning(len(x), at[a[ok]], at[b[ok]])
+        members = [np.frombuffer(rows["hashes"][i], np.uint64) for i in order]
+        a, b = similar_pairs([members[i] for i in left], [members[i] for i in right], least)
+        root = spanning(len(x), left[a], right[b])
         for i in np.flatnonzero(root != np.arange(len(x))):
-            yield int(x[order[i]]), int(x[order[root[i]]])
+            yield int(x[i]), int(x[root[i]])
+
+    return map_groups(dealt, ["band", "lo", "hi"], compare, "a long, b long")
+
 
-    return map_groups(dealt, ["root", "lo", "hi"], compare, "a long, b long")
+def text_key():
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
 
 
 def simhash_duplicates(docs: DataFrame, size: int = 5, radius: int = 8, similarity: float | None = 0.8) -> DataFrame:
     """Per row of docs: (doc_id, fp, component_id); component_id is the smallest doc_id reachable over links.
 
-    Rows link whose fingerprints differ in at most `radius` bits and, with `similarity`, whose shingle sets are that
-    similar by a sketch of SKETCH bins. Texts are read whole; null and empty texts have fingerprint zero and link like any
-    other. Rows with equal fingerprints (and, with similarity, equal sketches) meet in an aggregation, so copies are never paired. Repeated rows
-    each get their row; a null doc_id is never the smallest unless its component holds no other; an empty table gives an
-    empty result; other columns are not read.
+    Without `similarity`, rows link whose fingerprints differ in at most `radius` bits. With it, rows link whose shingle sets
+    have that Jaccard similarity, however far their fingerprints are apart (see similar_links). Texts are read whole; null and
+    empty texts have fingerprint zero and the empty set and link like any other. Rows with equal fingerprints (with similarity,
+    equal sets) meet in an aggregation, so copies are never paired. Repeated rows each get their row; a null doc_id is never the
+    smallest unless its component holds no other; an empty table gives an empty result; other columns are not read.
     """
     kind = dict(docs.dtypes)["doc_id"]
 
     def prints(c):
-        out = {"doc_id": c["doc_id"], "fp": [fingerprint(x or "", size) for x in c["text"]]}
-        return out if similarity is None else out | {"sketch": [sketch(shingle_hashes(x or "", size)) for x in c["text"]]}
+        return {"doc_id": c["doc_id"], "fp": [fingerprint(shingle_hashes(x or "", size)) for x in c["text"]]}
+
+    def sets(c):
+        out: dict[str, list] = {"doc_id": c["doc_id"], "key": c["key"], "fp": [], "node": [], "bands": []}
+        for x in c["text"]:
+            h = shingle_hashes(x or "", size)
+            members = np.unique(h)
+            out["fp"].append(fingerprint(h))
+            out["node"].append(xxhash.xxh64_intdigest(members.tobytes()) - (1 << 63))
+            out["bands"].append(band_keys(members))
+        return out
 
-    found = as_table(map_arrow(docs.select("doc_id", "text"), prints, f"doc_id {kind}, fp long" + ", sketch binary" * (similarity is not None)), "fingerprints")
     if similarity is None:
-        node, key = F.col("fp"), ["fp"]
-    else:  # texts that share a fingerprint but not a sketch stay apart until they are verified
-        node, key = F.xxhash64("fp", "sketch"), ["fp", "sketch"]
-    nodes = found.groupBy(*key).agg(F.min("doc_id").alias("least")).withColumn("node", node)
-    fps = nodes.select("fp").distinct()
-    roots = components(fingerprint_links(fps, radius), "a", "b").withColumnRenamed("node", "fp")
-    if similarity is not None:
-        shared = nodes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-        wide = roots.unionByName(shared.select("fp", F.col("fp").alias("root")).join(roots.select("fp"), "fp", "left_anti"))
-        members = as_table(nodes.join(wide, "fp").select("root", "fp", "sketch", "node"), "members")
-        links = verified_links(members, radius, similarity)
-        roots = components(links, "a", "b")
-    roots = roots.withColumnsRenamed({"fp": "node"})
-    joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = as_table(map_arrow(docs.select("doc_id", "text"), prints, f"doc_id {kind}, fp long"), "fingerprints")
+        key = "fp"
+        links = fingerprint_links(found.select("fp").distinct(), radius)
+    else:
+        found = as_table(map_arrow(docs.select("doc_id", "text", text_key().alias("key")), sets, f"doc_id {kind}, key string, fp long, node long, bands array<long>"), "fingerprints")
+        key = "node"
+        links = similar_links(found, docs, size, similarity)
+    nodes = found.groupBy(F.col(key).alias("node")).agg(F.min("doc_id").alias("least"))
+    joined = nodes.join(components(links, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_key = as_table(joined.select(*key, "root").join(least, "root").select(*key, "component_id"), "classes")
+    by_key = as_table(joined.select(F.col("node").alias(key), "root").join(least, "root").select(key, "component_id"), "classes")
     return found.join(by_key, key).select("doc_id", "fp", "component_id")
 
 

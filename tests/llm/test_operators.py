@@ -191,6 +191,43 @@ def test_simhash(docs, empty, monkeypatch):
     assert simhash.simhash_duplicates(empty).count() == 0
 
 
+def shingle_set(t, size=5):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    return frozenset(tuple(ws[k : k + size]) for k in range(max(1, len(ws) - size + 1))) if ws else frozenset()
+
+
+def jaccard_roots(rows, least):
+    """The smallest id reachable over pairs of rows (id, text) of that exact similarity, by comparing all pairs."""
+    sets = {i: shingle_set(t) for i, t in rows}
+    return closure(sets, [(a, b) for a in sets for b in sets if b < a and (sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least)])
+
+
+def test_near_copies_beyond_the_radius(spark, monkeypatch):
+    r = random.Random(9)
+    rows = []
+    for k in range(60):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice([60, 200, 500]))]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(r.randint(1, 3)):
+            other = list(words)
+            for at in r.sample(range(len(words)), max(1, int(len(words) * r.choice([0.01, 0.02, 0.025, 0.03])))):
+                other[at] = f"x{r.randrange(5000)}"
+            rows.append((len(rows), " ".join(other)))
+    sets = [shingle_set(t) for _, t in rows]
+    fps = [simhash_bits(s) for s in sets]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert sum(bin(fps[a] ^ fps[b]).count("1") > 8 for a, b in linked) >= 10
+    want = jaccard_roots(rows, 0.8)
+    for tile in (256, 2):
+        monkeypatch.setattr(simhash, "SKETCH_TILE", tile)
+        assert {x.doc_id: x.component_id for x in simhash.simhash_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 8, 0.8).collect()} == want
+
+
+def simhash_bits(shingles):
+    hs = [xxhash.xxh64_intdigest(" ".join(x).encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(5, None), (None, None)]
