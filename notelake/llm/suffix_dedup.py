@@ -101,51 +101,53 @@ def _sorted_group(length: int):
 
 
 def _large_groups(rows: DataFrame, length: int) -> DataFrame:
-    """(key, start, end) of the repeated spans in rows (key, start, body) of groups that are too large for a task.
+    """(key, start, end) of the repeated spans in rows (h, key, start, body) of groups that are too large for a task.
 
-    Equal bodies meet in an aggregation. The rest falls into finer groups, of which those of up to GROUP bodies are sorted
+    Groups stay apart at every step: a region's body also holds windows filed under other hashes, so a place of a text stands in
+    regions of several groups, but in one region of a group, and in one finer region of a finer group. Equal bodies meet in an aggregation. The rest falls into finer groups, of which those of up to GROUP bodies are sorted
     as usual; windows of larger ones are compared by a 128-bit hash, of which each task sends a window once."""
     rows = rows.withColumn("c", F.md5("body"))
-    bodies = as_table(rows.groupBy("c").agg(F.first("body").alias("body"), (F.min(F.struct("key", "start")) != F.max(F.struct("key", "start"))).alias("twice")), "bodies")
+    bodies = as_table(rows.groupBy("h", "c").agg(F.first("body").alias("body"), (F.min(F.struct("key", "start")) != F.max(F.struct("key", "start"))).alias("twice")), "bodies")
 
     def split(cols):
-        out: dict[str, list] = {"g": [], "key": [], "start": [], "body": [], "twice": []}
-        for c, body, twice in zip(cols["c"], cols["body"], cols["twice"], strict=True):
+        out: dict[str, list] = {"h": [], "g": [], "key": [], "start": [], "body": [], "twice": []}
+        for h, c, body, twice in zip(cols["h"], cols["c"], cols["body"], cols["twice"], strict=True):
             for g, s, n in finer(body, length):
-                for k, v in (("g", g), ("key", c), ("start", s), ("body", body[s : s + n]), ("twice", twice)):
+                for k, v in (("h", h), ("g", g), ("key", c), ("start", s), ("body", body[s : s + n]), ("twice", twice)):
                     out[k].append(v)
         return out
 
-    sub = map_arrow(bodies, split, "g long, key string, start int, body binary, twice boolean").withColumn("c2", F.md5("body"))
+    sub = map_arrow(bodies, split, "h long, g long, key string, start int, body binary, twice boolean", most=1 << 20).withColumn("c2", F.md5("body"))
     sub = as_table(sub, "finer")
-    small = sub.groupBy("g", "c2").agg(F.first("body").alias("body"), (F.max("twice") | (F.min(F.struct("key", "start")) != F.max(F.struct("key", "start")))).alias("twice"))
+    name = F.concat_ws("|", F.col("h").cast("string"), F.col("g").cast("string"), "c2")
+    small = sub.groupBy("h", "g", "c2").agg(F.first("body").alias("body"), (F.max("twice") | (F.min(F.struct("key", "start")) != F.max(F.struct("key", "start")))).alias("twice"))
     small = as_table(small, "finer-bodies")
-    sizes = small.groupBy("g").agg(F.count("*").alias("n"))
-    small = small.join(sizes, "g")
-    few = small.where(F.col("n") <= GROUP).select("g", F.concat_ws("|", F.col("g").cast("string"), "c2").alias("key"), F.lit(0).alias("start"), "body", "twice")
-    spans = map_groups(few, ["g"], _sorted_group(length), "key string, a int, b int")
+    sizes = small.groupBy("h", "g").agg(F.count("*").alias("n"))
+    small = small.join(sizes, ["h", "g"]).withColumn("key", name)
+    few = small.where(F.col("n") <= GROUP).select("h", "g", "key", F.lit(0).alias("start"), "body", "twice")
+    spans = map_groups(few, ["h", "g"], _sorted_group(length), "key string, a int, b int")
 
     def windows(cols):
-        out: dict[str, list] = {"w": [], "key": [], "start": [], "twice": []}
-        for g, c2, body, twice in zip(cols["g"], cols["c2"], cols["body"], cols["twice"], strict=True):
+        out: dict[str, list] = {"h": [], "g": [], "w": [], "key": [], "start": [], "twice": []}
+        for h, g, key, body, twice in zip(cols["h"], cols["g"], cols["key"], cols["body"], cols["twice"], strict=True):
             for i in range(len(body) - length + 1):
-                for k, v in (("w", hashlib.blake2b(body[i : i + length], digest_size=16).digest()), ("key", f"{g}|{c2}"), ("start", i), ("twice", twice)):
+                for k, v in (("h", h), ("g", g), ("w", hashlib.blake2b(body[i : i + length], digest_size=16).digest()), ("key", key), ("start", i), ("twice", twice)):
                     out[k].append(v)
         return out
 
-    each = map_arrow(small.where(F.col("n") > GROUP).select("g", "c2", "body", "twice"), windows, "w binary, key string, start int, twice boolean")
-    again = each.groupBy("w").agg(F.min(F.struct("key", "start")).alias("lo"), F.max(F.struct("key", "start")).alias("hi"), F.max("twice").alias("twice")).where("twice or lo <> hi").select("w")
-    spans = spans.unionByName(each.join(again, "w", "left_semi").select("key", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
+    each = map_arrow(small.where(F.col("n") > GROUP).select("h", "g", "key", "body", "twice"), windows, "h long, g long, w binary, key string, start int, twice boolean", most=1 << 18)
+    again = each.groupBy("h", "g", "w").agg(F.min(F.struct("key", "start")).alias("lo"), F.max(F.struct("key", "start")).alias("hi"), F.max("twice").alias("twice")).where("twice or lo <> hi").select("h", "g", "w")
+    spans = spans.unionByName(each.join(again, ["h", "g", "w"], "left_semi").select("key", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
     per = spans.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     # from finer bodies to the places in the bodies, and from those to the places in the texts
-    per = sub.select("g", "c2", F.col("key").alias("c"), "start").withColumn("key", F.concat_ws("|", F.col("g").cast("string"), "c2")).join(per, "key").select("c", "start", F.explode("spans").alias("s")).select("c", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
+    per = sub.select("h", F.col("key").alias("c"), "start", name.alias("key")).join(per, "key").select("h", "c", "start", F.explode("spans").alias("s")).select("h", "c", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
 
     def joined(cols):
         spans = [merge([(x["a"], x["b"]) for x in xs]) for xs in cols["spans"]]
-        return {"c": cols["c"], "spans": [[{"a": a, "b": b} for a, b in xs] for xs in spans]}
+        return {"h": cols["h"], "c": cols["c"], "spans": [[{"a": a, "b": b} for a, b in xs] for xs in spans]}
 
-    whole = map_arrow(per.groupBy("c").agg(F.collect_list(F.struct("a", "b")).alias("spans")), joined, "c string, spans array<struct<a:int,b:int>>")
-    return rows.select("key", "start", "c").join(whole, "c").select("key", "start", F.explode("spans").alias("s")).select("key", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
+    whole = map_arrow(per.groupBy("h", "c").agg(F.collect_list(F.struct("a", "b")).alias("spans")), joined, "h long, c string, spans array<struct<a:int,b:int>>")
+    return rows.select("h", "key", "start", "c").join(whole, ["h", "c"]).select("key", "start", F.explode("spans").alias("s")).select("key", (F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b"))
 
 
 def repeated_text(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -196,10 +198,10 @@ def repeated_text(docs: DataFrame, length: int = 400) -> DataFrame:
                     out[k].append(v)
         return out
 
-    cut = as_table(map_arrow(found, bodies, "h long, key binary, start int, body binary, large boolean"), "bodies")
+    cut = as_table(map_arrow(found, bodies, "h long, key binary, start int, body binary, large boolean", most=1 << 20), "bodies")  # bodies overlap: many times the text
     small = cut.where("not large").select("h", "key", "start", "body", F.lit(False).alias("twice"))
     spans = map_groups(small, ["h"], _sorted_group(length), "key binary, a int, b int")
-    spans = spans.unionByName(_large_groups(cut.where("large").select("key", "start", "body"), length))
+    spans = spans.unionByName(_large_groups(cut.where("large").select("h", "key", "start", "body"), length))
 
     def joined(cols):
         return {"_key": cols["key"], "_spans": [[{"a": a, "b": b} for a, b in merge([(x["a"], x["b"]) for x in xs])] for xs in cols["spans"]]}

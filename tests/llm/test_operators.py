@@ -328,6 +328,23 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_suffix_dedup_with_frequent_lines_between_unique_text(spark, monkeypatch):
+    r = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lines = ["".join(r.choice(letters) for _ in range(50)) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(8):
+            parts += [r.choice(lines), "".join(r.choice(letters) for _ in range(r.randint(3, 45)))]
+        rows.append((i, " ".join(parts)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for group in (384, 8, 1):
+        monkeypatch.setattr(suffix_dedup, "GROUP", group)
+        for length in (40, 100):
+            assert got(suffix_dedup.cut_digests(df, length)) == brute_cut(rows, length), (group, length)
+
+
 def test_suffix_order():
     r = random.Random(6)
     for _ in range(400):
