@@ -110,6 +110,21 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_toxicity(empty, none).count() == 0 and toxicity.score_toxicity(docs, none).where("predicted = 1").count() == 0
 
 
+def toxic_model():
+    chars = Counter()
+    for w in "what you are an idiot a stupid moron so is he the fine day we went there and here it was good loser".split():
+        chars.update(f"^^{w}$"[i : i + 3] for i in range(len(w) + 1))
+    return toxicity.ToxicModel({g: n * 50 for g, n in chars.items()}, {"idiot": 0.9, "stup*": 0.9, "moron": 0.9}, 0.01)
+
+
+def test_spread_words_anywhere_in_a_run():
+    model = toxic_model()
+    for bad in ("what a i d i o t", "y o u s t u p i d", "y o u a r e a n i d i o t", "s o   s t u p i d", "i t w a s a g o o d d a y a n d w e w e n t t h e r e y o u m o r o n", "h e - i - s - a - m - o - r - o - n"):
+        assert model.score(bad) > 0.5, bad
+    for fine in ("a f i n e d a y", "_" * 200 + "x", "- " * 200, "i t w a s a g o o d d a y"):
+        assert model.score(fine) < 0.3, fine
+
+
 def test_language_model(docs, empty):
     rows = odd_rows()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
