@@ -125,6 +125,15 @@ def test_spread_words_anywhere_in_a_run():
         assert model.score(fine) < 0.3, fine
 
 
+def test_disguise_in_tokens_of_any_length_and_by_every_sign():
+    model = toxic_model()
+    assert all(toxicity.DISGUISED.search(f"m{c}oron") for c in (toxicity.BETWEEN | set(toxicity.LEET)) - {"\n", "\t", " "})
+    for bad in ("st" + "u" * 90 + "pid", "you-" * 20 + "1d10t", "1d1ot" * 20, "id\u200biot", "mo\u00adron", "m/o/r/o/n", "i,d,i,o,t", "you/m0r0n"):
+        assert model.score(f"he is {bad} there") > 0.5, bad
+    for fine in ("and/or", "a" * 5000, "go" * 60 + "1", "well-known"):
+        assert model.score(fine) < 0.3, fine
+
+
 def test_language_model(docs, empty):
     rows = odd_rows()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
