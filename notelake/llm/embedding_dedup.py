@@ -86,7 +86,7 @@ def cosine_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     null ids are never the smallest; an empty table gives an empty result; other columns are not read.
     """
     v = F.col("v")
-    base = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
+    base = vectors.select(F.col(id_col).alias("id"), F.transform(F.col(vec_col).cast("array<double>"), lambda x: x + 0.0).alias("v"), F.col(label_col).alias("label"))  # -0.0 becomes 0.0: they group alike, but not their JSON
     good = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     # scaled by the largest component: squares neither overflow nor vanish, and cosines stay the same
     valid = base.where(good).withColumn("k", F.hex(F.md5(F.to_json(F.struct("v")).cast("binary"))))

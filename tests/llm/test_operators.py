@@ -282,6 +282,13 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.cosine_duplicates(df.limit(0), 0.98).count() == 0
 
 
+def test_embeddings_with_negative_zeros(spark):
+    rows = [(0, [0.0, 1.0, 2.0], 0), (1, [-0.0, 1.0, 2.0], 0), (2, [0.0, 1.0, 2.0], 0), (3, [-0.0, 1.0, -2.0], 0), (4, [-0.0, -0.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(1)
+    want = [(0, 2, 0, True), (1, 2, 0, False), (2, 2, 0, False), (3, 0, 3, True), (4, 0, 4, True)]
+    assert sorted(tuple(x) for x in embedding_dedup.cosine_duplicates(df, 0.98).collect()) == want
+
+
 def test_decontamination(spark, docs, empty):
     item = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf in the dark wood"
     items = spark.createDataFrame([(1, item), (2, "qq"), (3, None), (None, "q"), (1, item), (4, "")], "item_id long, text string")
