@@ -247,6 +247,18 @@ def test_near_copies_beyond_the_radius(spark, monkeypatch):
         assert {x.doc_id: x.component_id for x in simhash.simhash_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 8, 0.8).collect()} == want
 
 
+def test_similarity_is_decided_by_whole_sets(spark):
+    rows, r = [], random.Random(10)
+    for k in range(40):  # a text and its beginning: 50 to 400 shingles, a share of 0.78 to 0.82 of them in both
+        n = r.choice([50, 100, 200, 400])
+        words = [f"w{k}x{i}" for i in range(n + 4)]
+        cut = round(n * r.choice([0.78, 0.79, 0.8, 0.81, 0.82]))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: cut + 4]))]
+    out = {x.doc_id: x.component_id for x in simhash.simhash_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 8, 0.8).collect()}
+    assert out == jaccard_roots(rows, 0.8)
+    assert 5 < sum(out[2 * k + 1] == 2 * k for k in range(40)) < 35
+
+
 def simhash_bits(shingles):
     hs = [xxhash.xxh64_intdigest(" ".join(x).encode(), 42) for x in shingles]
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
