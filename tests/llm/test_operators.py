@@ -416,6 +416,27 @@ def test_sql_twin(spark):
         assert differ(spark, con, QUERIES[name], sql, SF) is None
 
 
+def test_near_duplicate_stage_equals_exact_components(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
+    sets = {i: shingle_set(t) for i, t in rows}
+    at = {}  # only texts that share a shingle can be similar
+    for i, x in sets.items():
+        for g in x or [None]:
+            at.setdefault(g, []).append(i)
+    pairs = {(a, b) for ids in at.values() for a in ids for b in ids if b < a}
+    linked = [(a, b) for a, b in pairs if sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    root = closure(sets, linked)
+    near = [(a, b) for a, b in linked if sets[a] != sets[b]]
+    found = {r.doc_id: r.component_id for r in simhash.simhash_duplicates(docs, 5, 8, 0.8).collect()}
+    assert near and sum(found[a] == found[b] for a, b in near) / len(near) == 1  # recall
+    kept = [r.doc_id for r in p.near_duplicates(spark, docs, "/root/testdata/sf0.01").collect() if r.doc_id is not None]
+    assert sorted(kept) == sorted(i for i in sets if root[i] == i)
+    print("pairs:", len(near))
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as p
 
