@@ -32,6 +32,17 @@ def as_table(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has, in either case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -98,7 +109,7 @@ def map_groups(df: DataFrame, keys: list[str], f: Callable[[tuple, dict[str, lis
             out.clear()
             return batch
 
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole, 2 << 20)):
             cols = [c.to_pylist() for c in b.columns]
             key_rows = list(zip(*(cols[i] for i in at), strict=True))
             start = 0

@@ -5,14 +5,17 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import xxhash
 
 GRAM = 32
+WORD_GRAM = 8
 WORD = re.compile(rb"[^ \n]*[ \n]?")
+MASK = np.array([0, *((1 << 8 * n) - 1 for n in range(1, 9))], np.uint64)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def suffix_array(s: list[int]) -> list[int]:
-    """The suffix array of s, whose last symbol must be smaller than all others.
+    """The suffix array of s, numbers from 0 whose last must be smaller than all others, in time linear in len(s) + max(s).
 
     Phase 1 takes the groups of suffixes in descending order. For each suffix of a group it finds the nearest one before
     it that stands in a smaller group (the pointers found earlier are followed, so no place is passed twice), and moves
@@ -21,38 +24,54 @@ def suffix_array(s: list[int]) -> list[int]:
     of the groups along the chain of pointers that starts before it.
     """
     n = len(s)
-    order = sorted(range(n), key=s.__getitem__)
+    buckets: list[list[int] | None] = [None] * (max(s) + 1)
+    for i, c in enumerate(s):
+        if (held := buckets[c]) is None:
+            buckets[c] = [i]
+        else:
+            held.append(i)
+    order: list[int] = []
     place = [0] * n  # where a suffix stands in order
     first = [0] * n  # where its group begins
     size = [0] * n  # a group's size, by its beginning
-    begin = 0
-    for i, p in enumerate(order):
-        if s[p] != s[order[begin]]:
-            begin = i
-        place[p] = i
-        first[p] = begin
-        size[begin] += 1
-    before = [-1] * n
+    for held in buckets:
+        if held:
+            begin = len(order)
+            size[begin] = len(held)
+            for i, p in enumerate(held, begin):
+                place[p], first[p] = i, begin
+            order += held
+    unknown = -2
+    before = [unknown] * n
     end = n
     while end:
         begin = first[order[end - 1]]
         group = order[begin:end]
-        if end - begin > 1:
-            group.sort()
         hits: dict[int, int] = {}
         for p in group:
-            j = p - 1
-            while j >= 0 and first[j] >= begin:
-                j = before[j]
-            before[p] = j
-            if j >= 0:
-                hits[j] = hits.get(j, 0) + 1
+            if before[p] != unknown:
+                continue
+            open_ = [p]  # those whose pointer waits for one of the same group before them
+            while open_:
+                q = open_[-1]
+                j = q - 1
+                while j >= 0 and first[j] >= begin and before[j] != unknown:
+                    j = before[j]
+                if j >= 0 and first[j] >= begin:
+                    open_.append(j)
+                    continue
+                before[q] = j
+                if j >= 0:
+                    hits[j] = hits.get(j, 0) + 1
+                open_.pop()
         if hits:
-            by_count: dict[int, dict[int, list[int]]] = {}
+            by_count: list[dict[int, list[int]] | None] = [None] * (max(hits.values()) + 1)
             for j, k in hits.items():
-                by_count.setdefault(k, {}).setdefault(first[j], []).append(j)
-            for k in sorted(by_count, reverse=True):
-                for g, members in by_count[k].items():
+                if (groups := by_count[k]) is None:
+                    groups = by_count[k] = {}
+                groups.setdefault(first[j], []).append(j)
+            for groups in reversed(by_count):
+                for g, members in (groups or {}).items():
                     left = size[g] - len(members)
                     if not left:
                         continue
@@ -110,7 +129,7 @@ def common_prefixes(s: list[int], order: list[int]) -> list[int]:
     return out
 
 
-def grams(raw: bytes, size: int) -> np.ndarray:
+def grams(raw: bytes, size: int, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each run of `size` bytes."""
     n = len(raw)
     if n < size:
@@ -120,29 +139,66 @@ def grams(raw: bytes, size: int) -> np.ndarray:
     words = np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1)).copy().view(np.uint64)[:, 0]
     if size < 8:
         words = words & np.uint64((1 << 8 * size) - 1)
-        h = words[:m] * MIX[0]
-    else:
-        h = words[:m] * MIX[0]
+    h = (words[:m] + np.uint64(seed)) * MIX[seed]
+    if size > 8:
         for q in [*range(8, size - 7, 8), size - 8]:
             h ^= h >> np.uint64(29)
-            h = (h + words[q : q + m]) * MIX[1]
+            h = (h + words[q : q + m]) * MIX[1 - seed]
     h ^= h >> np.uint64(32)
     h *= MIX[0]
     return h ^ h >> np.uint64(29)
 
 
-def lone_cuts(texts: list[bytes], size: int, least: int) -> list[tuple[int, int, int]]:
-    """(text, start, end) of what is left when each gram that occurs once parts its text; pieces under `least` bytes go.
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends; ASCII white space parts words."""
+    a = np.frombuffer(raw, np.uint8)
+    inside = np.concatenate([[0], ((a != 32) & ((a < 9) | (a > 13))).view(np.int8), [0]])
+    edge = np.flatnonzero(np.diff(inside))
+    return edge[::2], edge[1::2]
+
+
+def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, eight bytes at a time; of words over 256 bytes by a hash of the whole."""
+    eight = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))
+    size = ends - starts
+    h = size.astype(np.uint64) * MIX[1]
+    live, at = np.arange(len(size)), 0
+    while len(live) and at < 256:
+        left = size[live] - at
+        x = eight[starts[live] + at] & MASK[np.minimum(left, 8)]
+        h[live] = ((h[live] ^ h[live] >> np.uint64(29)) + x) * MIX[0]
+        live, at = live[left > 8], at + 8
+    for i in live.tolist():
+        h[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]])
+    return h ^ h >> np.uint64(31)
 
-    A repeated string of `least` bytes holds repeated grams only, so it lies in one piece whole."""
-    hs = [grams(t, size) for t in texts]
-    if not hs:
+
+def runs_of(words: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of `size` numbers."""
+    n = len(words)
+    if n < size:
+        return np.zeros(0, np.uint64)
+    m = n - size + 1
+    h = np.zeros(m, np.uint64)
+    for q in range(size):
+        h ^= h >> np.uint64(29)
+        h = (h + words[q : q + m]) * MIX[q & 1]
+    h ^= h >> np.uint64(32)
+    h *= MIX[0]
+    return h ^ h >> np.uint64(29)
+
+
+def lone_cuts(hashes: list[np.ndarray], size: int, least: int) -> list[tuple[int, int, int]]:
+    """(text, start, end), in symbols, of what is left when each gram that occurs once parts its text; pieces under `least` go.
+
+    hashes: of the grams of `size` symbols of each text. A repeated string of `least` symbols holds repeated grams only, so
+    it lies in one piece whole."""
+    if not hashes:
         return []
-    every = np.concatenate(hs)
-    _, back, count = np.unique(every, return_inverse=True, return_counts=True)
+    _, back, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
     often = count[back] > 1
     out, at = [], 0
-    for i, h in enumerate(hs):
+    for i, h in enumerate(hashes):
         ok = often[at : at + len(h)]
         at += len(h)
         if not len(h):
@@ -154,6 +210,43 @@ def lone_cuts(texts: list[bytes], size: int, least: int) -> list[tuple[int, int,
     return out
 
 
+def repeated_words(texts: list[bytes], least: int) -> list[list[tuple[int, int]]]:
+    """For each text, the spans of bytes covered by runs of `least` words that start at two places of the texts or more. White space between words may differ."""
+    bounds = [word_bounds(t) for t in texts]
+    gram = min(WORD_GRAM, least)
+    pieces = lone_cuts([runs_of(word_hashes(t, *b), gram) for t, b in zip(texts, bounds, strict=True)], gram, least)
+    kept: dict[tuple[bytes, ...], list[int]] = {}
+    for k, (i, a, b) in enumerate(pieces):
+        starts, ends = bounds[i]
+        kept.setdefault(tuple(texts[i][starts[a] : ends[b - 1]].split()), []).append(k)
+    # of more than two equal pieces, two are enough to show that they repeat
+    strings = [x for x, ks in kept.items() for _ in ks[:2]]
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    if not strings:
+        return out
+    stops = len(strings)
+    ids = {w: stops + 1 + i for i, w in enumerate(sorted({w for x in strings for w in x}))}
+    s: list[int] = []  # 0 at the end, then a separator for each text, then words
+    for k, x in enumerate(strings):
+        s += [ids[w] for w in x]
+        s.append(k + 1)
+    s.append(0)
+    order = suffix_array(s)
+    lcp = [*common_prefixes(s, order), 0]
+    best = [0] * len(s)
+    for r, p in enumerate(order):
+        best[p] = max(lcp[r], lcp[r + 1])
+    at = 0
+    for ks, x in zip(kept.values(), kept, strict=True):
+        found = merge([(p, p + best[at + p]) for p in range(len(x)) if best[at + p] >= least])
+        at += (len(x) + 1) * min(2, len(ks))
+        for k in ks:
+            i, a, _ = pieces[k]
+            starts, ends = bounds[i]
+            out[i] += [(int(starts[a + p]), int(ends[a + q - 1])) for p, q in found]
+    return [merge(x) for x in out]
+
+
 def repeated_spans(texts: list[bytes], least: int) -> list[list[tuple[int, int]]]:
     """For each text, the spans covered by strings of `least` bytes that start at two places of the texts or more.
 
@@ -164,7 +257,7 @@ def repeated_spans(texts: list[bytes], least: int) -> list[list[tuple[int, int]]
     """
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
     gram = min(GRAM, least)
-    pieces = lone_cuts(texts, gram, least)
+    pieces = lone_cuts([grams(t, gram) for t in texts], gram, least)
     kept: dict[bytes, list[int]] = {}
     for k, (i, a, b) in enumerate(pieces):
         kept.setdefault(texts[i][a:b], []).append(k)
