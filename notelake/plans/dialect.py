@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
 
-class Spark:
+from .parameters import checked
+
+
+class Dialect:
+    """p: the parameters of the statement that is compiled."""
+
+    def __init__(self, **params):
+        self.p = SimpleNamespace(**checked(params))
+
+    @staticmethod
+    def num(x) -> str:
+        """A double's literal."""
+        return f"CAST({float(x)!r} AS DOUBLE)"
+
+
+class Spark(Dialect):
     name = "spark"
 
+    def held(self, x, order):
+        """All x of a group in order, as an array."""
+        return f"transform(array_sort(collect_list(struct({order} AS o, {x} AS x))), y -> y.x)"
+
+    def array_at(self, array, pos, x):
+        return f"LATERAL VIEW posexplode({array}) u_{x} AS {pos}, {x}"
+
     def rint(self, x):
         return f"rint({x})"
 
@@ -20,7 +43,7 @@ class Spark:
         return f"LATERAL VIEW posexplode(filter(split({text}, '[ \\n\\t\\r]+'), x -> x <> '')) u_{word} AS {pos}, {word}"
 
     def parts(self, text, sep, part):
-        return f"LATERAL VIEW explode(split({text}, '[{sep}]')) u_{part} AS {part}"
+        return f"LATERAL VIEW explode(filter(split({text}, '[{sep}]'), x -> x <> '')) u_{part} AS {part}"
 
     def text_of(self, x, order, sep=" "):
         return f"array_join(transform(array_sort(collect_list(struct({order} AS o, {x} AS x))), y -> y.x), '{sep}')"
@@ -47,9 +70,15 @@ class Spark:
         return "(CAST(conv(substr(md5(concat_ws('|', " + ", ".join(f"CAST({c} AS STRING)" for c in cols) + ")), 1, 8), 16, 10) AS DOUBLE) + 0.5e0) / 4294967296e0"
 
 
-class Duck:
+class Duck(Dialect):
     name = "duck"
 
+    def held(self, x, order):
+        return f"list({x} ORDER BY {order})"
+
+    def array_at(self, array, pos, x):
+        return f", LATERAL (SELECT unnest(range(len({array}))) AS {pos}, unnest({array}) AS {x}) AS u_{x}"
+
     def rint(self, x):
         return f"round_even(({x})::DOUBLE, 0)::DOUBLE"
 
@@ -63,7 +92,7 @@ class Duck:
         return f", LATERAL (SELECT unnest(range(len(ws))) AS {pos}, unnest(ws) AS {word} FROM (SELECT list_filter(string_split_regex({text}, '[ \n\t\r]+'), lambda x: x <> '') AS ws)) AS u_{word}"
 
     def parts(self, text, sep, part):
-        return f", LATERAL (SELECT unnest(string_split({text}, '{sep}')) AS {part}) AS u_{part}"
+        return f", LATERAL (SELECT unnest(list_filter(string_split({text}, '{sep}'), lambda x: x <> '')) AS {part}) AS u_{part}"
 
     def text_of(self, x, order, sep=" "):
         return f"string_agg({x}, '{sep}' ORDER BY {order})"

@@ -36,7 +36,7 @@ def compile_view(name: str, dialect, given: frozenset[str] = frozenset()) -> str
         if n in path:
             raise ValueError(f"{n} depends on itself")
         sql = VIEWS[n](dialect)
-        for other in re.findall(r"\b[a-z_0-9]+\b", re.sub(r"'[^']*'", "", sql)):
+        for other in re.findall(r"\b(?:FROM|JOIN)\s+([a-z_0-9]+)\b", re.sub(r"'[^']*'", "", sql)):
             if other in VIEWS and other != n:
                 visit(other, (*path, n))
         done[n] = sql
@@ -47,9 +47,14 @@ def compile_view(name: str, dialect, given: frozenset[str] = frozenset()) -> str
     return (f"WITH {recursive}" + ",\n".join(f"{n} AS ({s})" for n, s in done.items()) + "\n" if done else "") + last
 
 
-def run(spark: SparkSession, name: str, sf_dir: str | None = None, **inputs: DataFrame) -> DataFrame:
-    """The named query over the tables in sf_dir, or over the given DataFrames: any table or view can be given by name."""
-    sql = compile_view(name, Spark(), frozenset(inputs))
+def run(spark: SparkSession, name: str, sf_dir: str | None = None, **given) -> DataFrame:
+    """The named query over the tables in sf_dir, or over the given DataFrames: any table or view can be given by name.
+
+    What is no DataFrame is a parameter (plans/parameters.py): run(spark, "windows", path, length=32, stride=4)."""
+    if name not in VIEWS:
+        raise ValueError(f"no view {name!r}; there are {', '.join(sorted(VIEWS))}")
+    inputs = {k: x for k, x in given.items() if isinstance(x, DataFrame)}
+    sql = compile_view(name, Spark(**{k: x for k, x in given.items() if k not in inputs}), frozenset(inputs))
     used = set(re.findall(r"\b[a-z_0-9]+\b", sql))
     frames = dict(inputs)
     if sf_dir is not None:
@@ -59,6 +64,7 @@ def run(spark: SparkSession, name: str, sf_dir: str | None = None, **inputs: Dat
     import uuid
 
     tag = uuid.uuid4().hex[:8]
+    frames = {t: df for t, df in frames.items() if t in used}
     for t, df in frames.items():
         df.createOrReplaceTempView(f"{t}_{tag}")
         sql = re.sub(rf"\b(FROM|JOIN)(\s+){t}\b(?!\s*\()", rf"\1\2{t}_{tag}", sql)
@@ -69,5 +75,5 @@ def run(spark: SparkSession, name: str, sf_dir: str | None = None, **inputs: Dat
             spark.catalog.dropTempView(f"{t}_{tag}")
 
 
-def oracle(name: str) -> str:
-    return compile_view(name, Duck())
+def oracle(name: str, **params) -> str:
+    return compile_view(name, Duck(**params))

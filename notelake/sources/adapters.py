@@ -10,9 +10,18 @@ def raw_notes(d):
         event_type AS track, event_type = 'error' AS is_drum FROM events"""
 
 
+@view
+def raw_seconds(d):
+    """Raw notes with their starts and ends in seconds."""
+    return f"""SELECT user_id AS piece_id, event_id AS note_ord, 21 + {d.prop('props', 'k')} % 88 AS pitch,
+        {d.micros('ts')} / 1000000e0 AS start_sec, {d.micros('ts')} / 1000000e0 + value / 100e0 AS end_sec, 1 + event_id % 127 AS vel,
+        event_type AS track, event_type = 'error' AS is_drum FROM events"""
+
+
 @view
 def pieces(d):
-    return "SELECT DISTINCT user_id AS piece_id, CASE user_id % 3 WHEN 0 THEN 'Classical' WHEN 1 THEN 'Jazz' ELSE 'Blues' END AS style FROM events"
+    """skip_reason: why a piece could not be read, null for those that could."""
+    return "SELECT DISTINCT user_id AS piece_id, CASE user_id % 3 WHEN 0 THEN 'Classical' WHEN 1 THEN 'Jazz' ELSE 'Blues' END AS style, CAST(NULL AS STRING) AS skip_reason FROM events"
 
 
 @view
