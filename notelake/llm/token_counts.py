@@ -37,10 +37,20 @@ class TokenCounter:
         self.specials = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.pieces = Recent(CACHE)
         self.chunks = Recent(CACHE)
+        self.tables = Recent(20_000)
 
     def symbols(self, piece: str) -> str:
         return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.to_symbols)
 
+    def table(self, piece: str) -> tuple[list[int], list[int]]:
+        """The prefix table of one piece, over its bytes: each prefix's last token, and its exact count."""
+        found = self.tables.get(piece)
+        if found is None:
+            found = self.bpe.table(self.symbols(piece))
+            if len(piece) < 64:
+                self.tables.put(piece, found)
+        return found
+
     def of_piece(self, piece: str) -> int:
         n = self.pieces.get(piece)
         if n is None:
@@ -49,6 +59,14 @@ class TokenCounter:
                 self.pieces.put(piece, n)
         return n
 
+    def covered(self, piece: str, budget: int) -> int:
+        """The bytes that the first `budget` tokens of a piece cover: its table is read backwards from the end until the count fits."""
+        last, count = self.table(piece)
+        at, sizes = len(count) - 1, self.bpe.sizes
+        while count[at] > budget:
+            at -= sizes[last[at]] if last[at] >= 0 else 1
+        return at
+
     def _chunk_counts(self, text: str) -> tuple[list[str], list[int]]:
         """Consecutive pieces of the text that are encoded on their own, with their counts."""
         parts: list[str] = []
@@ -91,8 +109,7 @@ class TokenCounter:
         for piece in SPLIT.findall(parts[k]):
             n = self.of_piece(piece)
             if n > left:
-                tokens = self.bpe.encode(self.symbols(piece))
-                return total, covered + sum(self.bpe.sizes[t] for t in tokens[:left])
+                return total, covered + self.covered(piece, left)
             covered += len(piece.encode("utf-8", "surrogatepass"))
             left -= n
         return total, covered
@@ -109,7 +126,7 @@ class TokenCounter:
                 out += [out[-1] + 1] * len(special.encode())
             for piece in SPLIT.findall(segment):
                 base = out[-1]
-                out += [base + n for n in self.bpe.table(self.symbols(piece))[1][1:]]
+                out += [base + n for n in self.table(piece)[1][1:]]
         return out
 
 
@@ -137,3 +154,17 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     kind = dict(docs.dtypes)[id_col]
     out = map_arrow(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), f, f"i {kind}, n_bytes long, n_tokens long, cut_bytes long")
     return out.select(F.col("i").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cut_bytes")
+
+
+def prefix_tables(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: (id, counts): for every prefix of the text's UTF-8 bytes, the empty one first, the tokens it needs.
+
+    Null text counts as empty (one prefix, no tokens); rows are taken one by one, as in token_counts. With the table stored, a
+    budget of k tokens is a search in counts, without the tokenizer."""
+
+    def f(cols):
+        c = counter(path)
+        return {"i": cols["i"], "counts": [c.prefix_counts(x or "") for x in cols["t"]]}
+
+    kind = dict(docs.dtypes)[id_col]
+    return map_arrow(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), f, f"i {kind}, counts array<int>", most=1 << 18).withColumnRenamed("i", id_col)
