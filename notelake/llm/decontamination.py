@@ -9,7 +9,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import _arrow, as_table, pieces, unused
 
 RATE = 0.08  # errors allowed per character of an item
 PART = 4_000_000  # characters of test items that one scan holds; more items mean more scans
@@ -99,40 +99,59 @@ class Scanner:
 
 
 def item_parts(items: DataFrame, id_col: str, text_col: str):
-    """The test items in parts of about PART characters each, so that what is sent to the executors is bounded."""
+    """The test items in parts of about PART characters each, so that what the driver and a task hold is bounded."""
     items = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).distinct()
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-total // PART)
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).orderBy("i", "t").collect()
-        yield [(r.i, r.t) for r in rows]
+        yield [(r.i, r.t) for r in rows], k == n - 1
 
 
-def contamination(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """docs with a column matches: array of (item_id, start, end, distance), empty where no test item is found.
+def contamination(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "item_id", text_col: str = "text", out_col: str = "matches") -> DataFrame:
+    """docs with one more column: array of (item_id, start, end, distance), empty where no test item is found.
 
-    Whole texts are scanned, without any shuffle. Null texts and items and those without letters match nothing; repeated
-    items are found once; documents are taken row by row, so null or repeated ids do no harm; empty tables are fine; other
-    columns are carried along (one called matches would be replaced).
+    The column is called out_col, with as many underscores after it as make the name new. Whole texts are scanned, without any
+    shuffle. Null texts and items and those without letters match nothing; repeated items are found once; documents are
+    taken row by row, so null or repeated ids do no harm; empty tables are fine; other columns are carried along. Test items
+    of more than PART characters are scanned part by part, with a table written between two scans: a task holds one
+    automaton, which it builds once, and one part's items.
     """
+    from pyspark.sql.types import StructField, StructType
+
     item_type = dict(items.dtypes)[id_col]
     kind = f"array<struct<item_id:{item_type},start:int,end:int,distance:int>>"
-    out = docs.withColumn("matches", F.array().cast(kind))
-    for part in item_parts(items, id_col, text_col):
-        bc, name = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
-
-        def scan(texts, bc=bc, name=name):
-            import pandas as pd
-
-            if name not in _scanners:
+    (name,) = unused(docs, out_col)
+    out = docs.withColumn(name, F.array().cast(kind))
+    i = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField(name, out.schema[name].dataType)])
+    target = _arrow(schema)
+    for part, last in item_parts(items, id_col, text_col):
+        bc, tag = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
+
+        def scan(batches, bc=bc, tag=tag):
+            import pyarrow as pa
+
+            if tag not in _scanners:
                 _scanners.clear()
-                _scanners[name] = Scanner(bc.value, rate)
-            s = _scanners[name]
-            return pd.Series([[dict(zip(("item_id", "start", "end", "distance"), x, strict=True)) for x in s.scan(t or "")] for t in texts])
-
-        udf = F.pandas_udf(scan, kind)
-        out = out.withColumn("matches", F.concat("matches", udf(F.col("text"))))
+                _scanners[tag] = Scanner(bc.value, rate)
+            s = _scanners[tag]
+            for b in batches:
+                for p in pieces(b):
+                    found = [(held or []) + [dict(zip(("item_id", "start", "end", "distance"), x, strict=True)) for x in s.scan(t or "")] for t, held in zip(p.column(i).to_pylist(), p.column(p.num_columns - 1).to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*p.columns[:-1], pa.array(found, target.field(len(target) - 1).type)], schema=pa.schema([*(p.schema.field(k) for k in range(p.num_columns - 1)), target.field(len(target) - 1)]))
+
+        out = out.mapInArrow(scan, schema)
+        if not last:
+            out = as_table(out, "scanned")
+            bc.destroy()
     return out
 
 
-__all__ = ["contamination", "map_arrow", "myers", "plain"]
+def clean_documents(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that hold no test item, with their columns as they are."""
+    found = contamination(docs, items, rate, id_col, text_col)
+    return found.where(F.size(found.columns[-1]) == 0).select(*docs.columns)
+
+
+__all__ = ["clean_documents", "contamination", "myers", "plain"]
