@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_groups
-from .components import components
+from .common import as_table, map_groups
+from .components import components, id_of, name_of
 from .simhash import spanning
 
 TILE = 512  # vectors on either side of a comparison, at most
@@ -17,7 +17,7 @@ SLACK = 1e-9  # rounding of the partial sums; links themselves are decided witho
 
 
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """An orthonormal basis, leading component first, for the commonest vector length. Only d * (d + 1) sums reach the driver."""
+    """An orthonormal basis, leading component first, for the commonest vector length. Each task sends a row of sums for each dimension; d * (d + 1) sums reach the driver."""
     top = vectors.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if top is None or top.d > 2048:
         return {}
@@ -30,16 +30,25 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
         for b in batches:
             x = np.array(b.column(0).to_pylist(), float)
             if len(x):
+                x /= np.abs(x).max(1, keepdims=True)
                 x /= np.sqrt((x * x).sum(1, keepdims=True))
                 total[:d] += x.T @ x
                 total[d] += x.sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int64)), pa.array(total.ravel())], ["i", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d + 1, dtype=np.int64)), pa.array([x.tobytes() for x in total], pa.binary())], ["i", "x"])
 
-    got = vectors.where(F.size("v") == d).select("v").mapInArrow(partial, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-    total = np.zeros((d + 1) * d)
+    def add(batches):
+        import pyarrow as pa
+
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held[i] = held.get(i, 0) + np.frombuffer(x)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["i", "x"])
+
+    got = vectors.where(F.size("v") == d).select("v").mapInArrow(partial, "i long, x binary").repartition("i").mapInArrow(add, "i long, x binary").collect()
+    total = np.zeros((d + 1, d))
     for r in got:
-        total[r.i] = r.x
-    total = total.reshape(d + 1, d)
+        total[r.i] = np.frombuffer(r.x)
     mean = total[d] / max(top.n, 1)
     _, axes = np.linalg.eigh(total[:d] / max(top.n, 1) - np.outer(mean, mean))
     return {d: np.ascontiguousarray(axes[:, ::-1])}
@@ -91,6 +100,7 @@ def cosine_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     # scaled by the largest component: squares neither overflow nor vanish, and cosines stay the same
     valid = base.where(good).withColumn("k", F.hex(F.md5(F.to_json(F.struct("v")).cast("binary"))))
     distinct = valid.groupBy("label", "v").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("k").alias("k"))
+    distinct = as_table(distinct.withColumn("named", name_of(F.col("node"), dict(base.dtypes)["id"], F.md5(F.concat_ws("|", F.col("label").cast("string"), "k").cast("binary")))), "distinct")
     axes = principal_axes(distinct.select("v"))
     width = math.sqrt(max(2 - 2 * threshold, 0)) + 1e-6
     label_type, id_type = dict(base.dtypes)["label"], dict(base.dtypes)["id"]
@@ -103,11 +113,9 @@ def cosine_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str =
             vs = [np.array(x) for x in cols["v"].to_pylist()]
             unit = [x / m / math.sqrt(((x / m) ** 2).sum()) for x in vs for m in [np.abs(x).max()]]
             lead = [float(x @ axes[len(x)][:, 0]) if len(x) in axes else float(x[0]) for x in unit]
-            yield pa.RecordBatch.from_arrays([cols["label"], cols["k"], cols["n"], pa.array([len(x) for x in vs], pa.int32()), pa.array([math.floor(x / width) for x in lead], pa.int32()), pa.array([x.tobytes() for x in vs], pa.binary())], ["label", "k", "n", "d", "cell", "raw"])
-
-    from .common import as_table
+            yield pa.RecordBatch.from_arrays([cols["label"], cols["named"], cols["k"], cols["n"], pa.array([len(x) for x in vs], pa.int32()), pa.array([math.floor(x / width) for x in lead], pa.int32()), pa.array([x.tobytes() for x in vs], pa.binary())], ["label", "named", "k", "n", "d", "cell", "raw"])
 
-    placed = as_table(distinct.select("label", "k", "n", "v").mapInArrow(place, f"label {label_type}, k string, n long, d int, cell int, raw binary"), "vectors")
+    placed = as_table(distinct.select("label", "k", "n", "v", "named").mapInArrow(place, f"label {label_type}, named string, k string, n long, d int, cell int, raw binary"), "vectors")
     sizes = placed.groupBy("label", "d", "cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     # how many tiles there are in a vector's own cell and in the two beside it
     beside = sizes.select("label", "d", F.explode(F.array(*[F.struct((F.col("cell") + s).alias("cell"), F.lit(s).alias("s"), "tiles") for s in (-1, 0, 1)])).alias("x")).select("label", "d", "x.*")
@@ -117,7 +125,7 @@ def cosine_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     pair = lambda c1, t1, c2, t2: F.struct(c1.cast("int").alias("c1"), t1.cast("int").alias("t1"), c2.cast("int").alias("c2"), t2.cast("int").alias("t2"))
     cell, tile = F.col("cell"), F.col("tile")
     to = lambda count, f: F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), f)).otherwise(none)
-    dealt = dealt.withColumn("g", F.explode(F.concat(to("own", lambda t: pair(cell, F.least(tile, t), cell, F.greatest(tile, t))), to("above", lambda t: pair(cell, tile, cell + 1, t)), to("below", lambda t: pair(cell - 1, t, cell, tile))))).select("label", "d", "g.*", "k", "n", "raw", "cell", "tile")
+    dealt = dealt.withColumn("g", F.explode(F.concat(to("own", lambda t: pair(cell, F.least(tile, t), cell, F.greatest(tile, t))), to("above", lambda t: pair(cell, tile, cell + 1, t)), to("below", lambda t: pair(cell - 1, t, cell, tile))))).select("label", "d", "g.*", "k", "named", "n", "raw", "cell", "tile")
 
     def compare(key, rows):
         label, d, c1, t1, c2, t2 = key
@@ -143,16 +151,13 @@ def cosine_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str =
         links = np.bincount(i, n[j], len(k)) + np.bincount(j, n[i], len(k))
         root = spanning(len(k), i, j)
         for x in np.flatnonzero(links):
-            yield label, k[x], k[root[x]], int(links[x])
+            yield label, k[x], rows["named"][x], rows["named"][root[x]], int(links[x])
 
-    linked = as_table(map_groups(dealt, ["label", "d", "c1", "t1", "c2", "t2"], compare, f"label {label_type}, k string, root string, links long"), "vector-links")
+    linked = as_table(map_groups(dealt, ["label", "d", "c1", "t1", "c2", "t2"], compare, f"label {label_type}, k string, a string, b string, links long"), "vector-links")
     counts = linked.groupBy("label", "k").agg(F.sum("links").alias("links"))
-    nodes = distinct.select("label", "k", "node", "n")
-    name = F.concat_ws("|", F.col("label").cast("string"), "k")
-    roots = components(linked.select(name.alias("a"), F.concat_ws("|", F.col("label").cast("string"), "root").alias("b")), "a", "b")
-    nodes = nodes.join(counts, ["label", "k"], "left").withColumn("name", name).join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    least = nodes.groupBy("root").agg(F.min("node").alias("component_id"))
-    nodes = nodes.join(least, "root").select("label", "k", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    roots = components(linked, "a", "b").select(F.col("node").alias("named"), "root")
+    nodes = distinct.select("label", "k", "node", "n", "named").join(counts, ["label", "k"], "left").join(roots, "named", "left")
+    nodes = nodes.select("label", "k", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.when(F.col("root").isNotNull(), id_of("root", id_type)).otherwise(F.col("node")).alias("component_id"))
     some = valid.select("id", "label", "k").join(nodes, ["label", "k"]).select("id", "n_links", "component_id")
     rest = base.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = some.unionByName(rest)
