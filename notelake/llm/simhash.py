@@ -6,15 +6,15 @@ meet in buckets, and their whole sets are compared there."""
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table, map_arrow, map_groups
-from .components import components
+from .common import as_table, map_arrow, map_groups, unused
+from .components import components, id_of, name_of
 
 BITS = 64
 TILE = 4096  # members of a bucket that are compared with one another in one task, at most
@@ -131,26 +131,41 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def bands(radius: int) -> list[tuple[int, int]]:
-    """radius + 1 bit ranges (shift, width) that cover all bits: two fingerprints within the radius agree on one at least."""
-    cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def bands(radius: int, agree: int = 1) -> list[list[tuple[int, int]]]:
+    """Sets of bit ranges (shift, width): of radius + agree ranges that cover all bits, every choice of `agree`.
 
+    Two fingerprints within the radius differ in at most `radius` ranges, so they agree on all of one choice at least."""
+    n = radius + agree
+    cuts = [BITS * i // n for i in range(n + 1)]
+    return [list(x) for x in combinations([(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], agree)]
 
-def fingerprint_links(fps: DataFrame, radius: int) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that connect all that lie within the radius of one another.
 
-    Each fingerprint goes to radius + 1 buckets by the value of a bit range. The buckets number less than
-    (radius + 1) * 2^(64 / (radius + 1) + 1) whatever the input, so their counts may be broadcast. A bucket of more than
-    TILE members is split into tiles by hash, and each pair of tiles is compared in a group of its own. A group emits at
-    most one link for each of its members, those of a spanning forest.
+def ranges_to_agree(n: int, radius: int) -> int:
+    """How many bit ranges name a bucket, of n fingerprints: the fewest with which a bucket of random ones holds no more than a tile.
+
+    More ranges mean more copies of each fingerprint but buckets that stay small however many there are; links are the same."""
+    agree = 1
+    while agree < 4 and n >> min(sum(w for _, w in x) for x in bands(radius, agree)) > TILE:
+        agree += 1
+    return agree
+
+
+def fingerprint_links(fps: DataFrame, radius: int, agree: int | None = None) -> DataFrame:
+    """(a, b): links between distinct fingerprints, rows of fps (fp, node), given by their nodes, that connect all that lie within the radius of one another.
+
+    Each fingerprint goes to a bucket for each choice of bit ranges, by their value. Buckets of one are dropped. A bucket of
+    more than TILE members is split into tiles by hash, and each pair of tiles is compared in a group of its own. A group
+    emits at most one link for each of its members, those of a spanning forest.
     """
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for i, (s, w) in enumerate(bands(radius))])
-    each = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.band", "k.value")
-    sizes = as_table(each.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    dealt = each.join(F.broadcast(sizes), ["band", "value"]).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    agree = agree or ranges_to_agree(fps.count(), radius)
+    masks = [sum(((1 << w) - 1) << s for s, w in ranges) for ranges in bands(radius, agree)]
+    masks = F.array(*[F.lit(str(m - (1 << 64) if m >> 63 else m)).cast("long") for m in masks])
+    keys = F.transform(masks, lambda m, i: F.struct(i.alias("band"), F.col("fp").bitwiseAND(m).alias("value")))
+    each = fps.select("fp", "node", F.explode(keys).alias("k")).select("fp", "node", "k.band", "k.value")
+    sizes = each.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = each.join(sizes, ["band", "value"]).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("fp", "band", "value", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile")
+    dealt = dealt.select("fp", "node", "band", "value", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile")
 
     def compare(key, rows):
         x = np.array(rows["fp"], np.int64)
@@ -167,9 +182,10 @@ def fingerprint_links(fps: DataFrame, radius: int) -> DataFrame:
             a, b = left[a], right[b]
         root = spanning(len(x), a, b)
         for i in np.flatnonzero(root != np.arange(len(x))):
-            yield int(x[i]), int(x[root[i]])
+            yield rows["node"][order[i]], rows["node"][order[root[i]]]
 
-    return map_groups(dealt, ["band", "value", "lo", "hi"], compare, "a long, b long")
+    kind = dict(fps.dtypes)["node"]
+    return map_groups(dealt, ["band", "value", "lo", "hi"], compare, f"a {kind}, b {kind}")
 
 
 @lru_cache(maxsize=1)
@@ -218,13 +234,14 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], least: float)
 
 
 def similar_links(found: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """(a, b): links between the nodes (distinct shingle sets) of found (doc_id, node, key, bands) whose sets' similarity reaches least.
+    """(a, b): links between the names of nodes (distinct shingle sets) of found (doc_id, node, key, bands) whose sets' similarity reaches least.
 
     Buckets are named by bands; of those with the same members one is compared. Large buckets are compared tile by tile,
     each pair of tiles in a group, which emits a spanning forest. Sets are made again from the texts (by their MD5, key) of the
     nodes that share a bucket.
     """
-    nodes = as_table(found.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.first("bands").alias("bands")).select("node", "rep.*", "bands"), "nodes")
+    id_type = dict(found.dtypes)["doc_id"]
+    nodes = as_table(found.groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.first("bands").alias("bands"), F.min("doc_id").alias("least")).select("node", "rep.*", "bands", name_of(F.col("least"), id_type, padded("node")).alias("named")), "nodes")
     each = nodes.select("node", F.explode("bands").alias("band"))
     sizes = each.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
     once = sizes.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / SKETCH_TILE).cast("int").alias("tiles"))
@@ -232,7 +249,8 @@ def similar_links(found: DataFrame, docs: DataFrame, size: int, least: float) ->
     wanted = nodes.select("node", F.col("doc_id").alias("rep"), "key").join(buckets.select("node").distinct(), "node", "left_semi")
     texts = docs.select("doc_id", text_key().alias("of"), "text")  # joined by id as well, so that a text's many copies do not meet
     texts = texts.join(wanted, (texts["of"] == wanted["key"]) & texts["doc_id"].eqNullSafe(wanted["rep"])).dropDuplicates(["node"]).select("node", "text")
-    sets = as_table(map_arrow(texts, lambda c: {"node": c["node"], "hashes": [np.unique(shingle_hashes(x or "", size)).tobytes() for x in c["text"]]}, "node long, hashes binary"), "sets")
+    texts = texts.join(nodes.select("node", "named"), "node")
+    sets = as_table(map_arrow(texts, lambda c: {"node": c["node"], "named": c["named"], "hashes": [np.unique(shingle_hashes(x or "", size)).tobytes() for x in c["text"]]}, "node long, named string, hashes binary"), "sets")
     dealt = buckets.withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("node", "band", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile").join(sets, "node")
 
@@ -247,9 +265,13 @@ def similar_links(found: DataFrame, docs: DataFrame, size: int, least: float) ->
         a, b = similar_pairs([members[i] for i in left], [members[i] for i in right], least)
         root = spanning(len(x), left[a], right[b])
         for i in np.flatnonzero(root != np.arange(len(x))):
-            yield int(x[i]), int(x[root[i]])
+            yield rows["named"][order[i]], rows["named"][order[root[i]]]
+
+    return map_groups(dealt, ["band", "lo", "hi"], compare, "a string, b string")
+
 
-    return map_groups(dealt, ["band", "lo", "hi"], compare, "a long, b long")
+def padded(key: str):
+    return F.lpad(F.hex(key), 32, "0")
 
 
 def text_key():
@@ -257,7 +279,7 @@ def text_key():
 
 
 def simhash_duplicates(docs: DataFrame, size: int = 5, radius: int = 8, similarity: float | None = 0.8) -> DataFrame:
-    """Per row of docs: (doc_id, fp, component_id); component_id is the smallest doc_id reachable over links.
+    """Per row of docs: (doc_id, fp, component_id), with similarity also key, the text's MD5; component_id is the smallest doc_id reachable over links.
 
     Without `similarity`, rows link whose fingerprints differ in at most `radius` bits. With it, rows link whose shingle sets
     have that Jaccard similarity, however far their fingerprints are apart (see similar_links). Texts are read whole; null and
@@ -283,16 +305,30 @@ def simhash_duplicates(docs: DataFrame, size: int = 5, radius: int = 8, similari
     if similarity is None:
         found = as_table(map_arrow(docs.select("doc_id", "text"), prints, f"doc_id {kind}, fp long"), "fingerprints")
         key = "fp"
-        links = fingerprint_links(found.select("fp").distinct(), radius)
+        links = None
     else:
         found = as_table(map_arrow(docs.select("doc_id", "text", text_key().alias("key")), sets, f"doc_id {kind}, key string, fp long, node long, bands array<long>"), "fingerprints")
         key = "node"
         links = similar_links(found, docs, size, similarity)
-    nodes = found.groupBy(F.col(key).alias("node")).agg(F.min("doc_id").alias("least"))
-    joined = nodes.join(components(links, "a", "b"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_key = as_table(joined.select(F.col("node").alias(key), "root").join(least, "root").select(key, "component_id"), "classes")
-    return found.join(by_key, key).select("doc_id", "fp", "component_id")
+    nodes = as_table(found.groupBy(key).agg(F.min("doc_id").alias("least")).select(key, "least", name_of(F.col("least"), kind, padded(key)).alias("named")), "nodes")
+    if links is None:
+        links = fingerprint_links(nodes.select("fp", F.col("named").alias("node")), radius)
+    roots = components(links, "a", "b").select(F.col("node").alias("named"), "root")
+    # a node without links is its own component; of ids that are all null, none is the least
+    by_key = as_table(nodes.join(roots, "named", "left").select(key, F.when(F.col("root").isNotNull(), id_of("root", kind)).otherwise(F.col("least")).alias("component_id")), "classes")
+    return found.join(by_key, key).select("doc_id", "fp", "component_id", *(["key"] if key == "node" else []))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies (see simhash_duplicates): of each group the row with the smallest doc_id stays, of equal ids the one with the smallest MD5 of its text.
+
+    A row is told by its id and its text, so texts that share an id are judged apart, and of equal rows one stays. Rows without
+    an id stay. Other columns are carried along, whatever their names."""
+    (key,) = unused(docs, "key")
+    found = simhash_duplicates(docs.where("doc_id is not null").select("doc_id", "text"), size=size, similarity=similarity)
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("one")).select(F.col("one.doc_id").alias("doc_id"), F.col("one.key").alias(key))
+    kept = docs.where("doc_id is not null").withColumn(key, text_key()).join(first, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def hex64(x):

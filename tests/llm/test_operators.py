@@ -53,7 +53,16 @@ def test_token_counts_equal_the_library(docs, empty):
     out = token_counts.token_counts(docs, path, 20)
     assert got(out.drop("cut_bytes")) == want
     assert got(token_counts.token_counts(empty, path)) == []
+    tables = {r.doc_id: r.counts for r in token_counts.prefix_tables(docs.where("doc_id < 10"), path).collect()}
+    assert all(x[-1] == len(lib.encode(rows_[1] or "", add_special_tokens=False).ids) for rows_ in odd_rows()[:7] for x in [tables[rows_[0]]])
     c = token_counts.counter(path)
+    r = random.Random(3)
+    for _ in range(300):
+        text = " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz1é") for _ in range(r.randint(1, 14))) for _ in range(6))
+        whole = lib.encode(text, add_special_tokens=False)
+        for limit in (1, 3, 7):
+            total, cut = c.count_and_cut(text, limit)
+            assert total == len(whole.ids) and cut == (len(text.encode()) if total <= limit else sum(c.bpe.sizes[c.bpe.names.index(lib.id_to_token(i))] for i in whole.ids[:limit]))
     for text in ("hello there, world", "don't  stop"):
         counts = c.prefix_counts(text)
         assert len(counts) == len(text.encode()) + 1 and counts[-1] == len(lib.encode(text, add_special_tokens=False).ids)
@@ -185,6 +194,7 @@ def closure(ids, linked):
 
 
 def test_simhash(docs, empty, monkeypatch):
+    assert [simhash.ranges_to_agree(n, 4) for n in (1, 10**7, 10**9, 10**12)] == [1, 1, 2, 4]
     rows = odd_rows()
 
     def fp(t):
@@ -193,18 +203,21 @@ def test_simhash(docs, empty, monkeypatch):
         return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs))
 
     fps = [fp(t) for _, t, *_ in rows]
-    for tile in (4096, 2):
+    for tile, radius in ((4096, 4), (2, 4), (2, 26)):
         monkeypatch.setattr(simhash, "TILE", tile)
-        for radius in (4, 26):
-            root = closure(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= radius])
-            least = {}
-            for k, (i, *_) in enumerate(rows):
-                if i is not None:
-                    least[root[k]] = min(i, least.get(root[k], i))
-            out = simhash.simhash_duplicates(docs, 4, radius, None)
-            have = sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in out.collect()), key=str)
-            assert have == sorted(((i, fps[k], least.get(root[k])) for k, (i, *_) in enumerate(rows)), key=str)
+        root = closure(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= radius])
+        least = {}
+        for k, (i, *_) in enumerate(rows):
+            if i is not None:
+                least[root[k]] = min(i, least.get(root[k], i))
+        out = simhash.simhash_duplicates(docs, 4, radius, None)
+        have = sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in out.collect()), key=str)
+        assert have == sorted(((i, fps[k], least.get(root[k])) for k, (i, *_) in enumerate(rows)), key=str)
     assert simhash.simhash_duplicates(empty, 4, 4, None).count() == 0
+    nodes = docs.sparkSession.createDataFrame([(x - (1 << 64) if x >> 63 else x, x - (1 << 64) if x >> 63 else x) for x in set(fps)], "fp long, node long")
+    for agree in (2, 3):  # the same components, whatever number of ranges names a bucket
+        links = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.fingerprint_links(nodes, 6, agree).collect()]
+        assert closure(set(fps), links) == closure(set(fps), [(a, b) for a in set(fps) for b in set(fps) if a < b and bin(a ^ b).count("1") <= 6])
     monkeypatch.setattr(simhash, "SKETCH_TILE", 2)
     near = simhash.simhash_duplicates(docs, 5, 8, 0.8).collect()
     assert len(near) == len(rows)
@@ -302,7 +315,7 @@ def test_embeddings_with_negative_zeros(spark):
     assert sorted(tuple(x) for x in embedding_dedup.cosine_duplicates(df, 0.98).collect()) == want
 
 
-def test_decontamination(spark, docs, empty):
+def test_decontamination(spark, docs, empty, monkeypatch):
     item = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf in the dark wood"
     items = spark.createDataFrame([(1, item), (2, "qq"), (3, None), (None, "q"), (1, item), (4, "")], "item_id long, text string")
     typos = item.replace("quick", "quik").replace("lazy", "lazzy")
@@ -310,6 +323,12 @@ def test_decontamination(spark, docs, empty):
     rows = spark.createDataFrame([(i, t, "m") for i, t in enumerate(texts)], "doc_id long, text string, item_id string")
     out = {r.doc_id: [(m.item_id, m.distance) for m in r.matches] for r in decontamination.contamination(rows, items).collect()}
     assert out == {0: [(1, 0)], 1: [(1, 2)], 2: [], 3: [], 4: [], 5: [], 6: [(2, 0)]}
+    clash = rows.withColumn("matches", F.lit("mine"))
+    found = decontamination.contamination(clash, items)
+    assert found.columns == [*clash.columns, "matches_"] and {r.matches for r in found.collect()} == {"mine"}
+    assert sorted(r.doc_id for r in decontamination.clean_documents(clash, items).collect()) == [2, 3, 4, 5]
+    monkeypatch.setattr(decontamination, "PART", 60)  # many parts, one after another
+    assert {r.doc_id: sorted((m.item_id, m.distance) for m in r.matches) for r in decontamination.contamination(rows, items).collect()} == out
     assert decontamination.contamination(docs, items.limit(0)).where("size(matches) > 0").count() == 0
     assert decontamination.contamination(empty, items).count() == 0
 
@@ -328,6 +347,38 @@ def test_decontamination(spark, docs, empty):
         assert decontamination.myers(p, t)[0] == distance(p, t)
 
 
+def test_decontamination_equals_edit_distance_everywhere(spark):
+    """All items against all windows of all texts, by plain dynamic programming."""
+    r = random.Random(21)
+    words = ["".join(r.choice("abcdef") for _ in range(r.randint(1, 6))) for _ in range(40)]
+    sentence = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, sentence(r.randint(1, 12))) for i in range(12)]
+    texts = []
+    for i in range(40):
+        t = sentence(30)
+        for _ in range(2):
+            x = list(r.choice(items)[1])
+            for _ in range(r.randint(0, 4)):
+                at = r.randrange(len(x))
+                x[at : at + r.randint(0, 1)] = r.choice(["", "q", "zz"[: r.randint(0, 2)]])
+            cut = r.randrange(len(t))
+            t = t[:cut] + " " + "".join(x) + " " + t[cut:]
+        texts.append((i, t))
+
+    def least(p, t):
+        row = [0] * (len(t) + 1)
+        for i, c in enumerate(p, 1):
+            new = [i]
+            for j, x in enumerate(t, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != x)))
+            row = new
+        return min(row)
+
+    want = {i: sorted((k, n) for k, x in items for p in [decontamination.plain(x)] for n in [least(p, decontamination.plain(t))] if n <= int(len(p) * 0.08)) for i, t in texts}
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {x.doc_id: sorted((m.item_id, m.distance) for m in x.matches) for x in decontamination.contamination(df, bench).collect()} == want
+
+
 def test_warc(spark, monkeypatch, tmp_path):
     import base64
 
@@ -344,11 +395,26 @@ def test_warc(spark, monkeypatch, tmp_path):
     assert warc.read_bundles(warc.write_bundles(df.limit(0))).count() == 0
     import zstandard
 
+    wanted = spark.createDataFrame([(0,), (2,), (7,), (999,), (None,), (7,)], "page_id long")
+    found = {r.page_id: r for r in warc.find_records(bundles, wanted).collect()}
+    assert sorted(found) == [0, 2, 7] and bytes(found[7].payload) == b"c" * 5000 and found[0].payload is None and found[0].refers_to == 8
     for r in warc.export_bundles(bundles, f"file://{tmp_path}").collect():
         data = (tmp_path / r.path.rsplit("/", 1)[1]).read_bytes()
-        frames = warc.BundleReader(data)
-        whole = b"".join(frames.frame(i) for i in range(len(frames.places)))
-        assert zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read() == whole
+        reads = []
+        frames = warc.BundleReader(read_at=lambda start, size, data=data, reads=reads: reads.append(size) or data[start : start + size], total=len(data))
+        whole = b"".join(frames.frame(i) for i in range(len(frames.places) - 1))
+        assert zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read() == whole  # other readers skip the index and the table
+        for page_id, *at in frames.index():  # by the file alone
+            head, payload = warc.parse(frames.read(*at))
+            assert head["warc-record-id"] == f"<urn:page:{page_id}>" and frames.read(*at) in frames.find(page_id)
+            assert head["content-type"].startswith("application/http")
+
+
+def test_warc_with_odd_ids(spark):
+    rows = [(None, "u", "same"), (None, "v", "same"), (3, "w", "other"), (3, "w", "other"), (None, "x", "other"), (3, "y", "third")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got_ = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_bundles(warc.write_bundles(df)).collect()), key=str)
+    assert got_ == sorted([(None, 4, "response", None)] * 2 + [(3, 5, "response", None)] * 2 + [(None, 5, "revisit", 3), (3, 5, "response", None)], key=str)
 
 
 def brute_cut(rows, length):
