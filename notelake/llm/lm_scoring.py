@@ -3,7 +3,7 @@
 Text (A-Z in lower case) is coded byte by byte, with an end sign, along Huffman trees of the training bytes (one for each
 byte that may come before, and one for each of the commonest pairs of bytes before); each branch is a bit. For every bit, three predictors look up how often it was 0 or 1 in their contexts: the last two bytes, the last
 four, and the word so far. Their logits are summed with weights chosen by how much the longer contexts have seen; the
-weights follow the text (online gradient steps, block by block), and a last stage corrects the mixed probability by what
+weights follow the whole text (online gradient steps, block by block), and a stage corrects the mixed probability by what
 came true at that level.
 """
 
@@ -21,16 +21,17 @@ from pyspark.sql import functions as F
 from .common import as_table, held_out, map_arrow, pieces
 
 END = 256
-DIGITS = (18, 19, 19)  # binary digits of a slot's number in the three predictors, whatever the corpus
+DIGITS = (18, 19, 19)  # binary digits of a slot's number in the three predictors, for up to SMALL bytes of training text
 SIZES = tuple(1 << d for d in DIGITS)
+SMALL = 1 << 28
 PAIRS = 768  # pairs of bytes with a tree of their own
 CHUNK = 1 << 14  # slots that travel together
 TOGETHER = 32 << 10  # bytes of text that are turned into bits at once: they fit the processor's cache
-BLOCK = 64  # bits between two steps of the weights
-SEGMENT = 8192  # bits after which the weights start anew
-LANES = 256  # segments that go on side by side
+BLOCK = 384  # bits between two steps of the weights
+PADDED = 1 << 21  # bits, with padding, of the texts that go on side by side
 GATES = 9
-RATE, LEVELS, TRUST = 0.02, 24, 0.02
+LEAST = np.float32(1 / 4096)
+RATE, LEVELS, TRUST = 0.005, 24, 0.01
 TOP_WORDS = 150_000  # the commonest words, whose counts every task holds; the others are joined
 MUL = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 BASE = MUL[1] | np.uint32(1)
@@ -102,8 +103,8 @@ def contexts(s: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 class Coder:
     """Turns texts into bits with their contexts. trees: a row of symbol counts for each tree; row: the tree of each pair of bytes before."""
 
-    def __init__(self, trees: np.ndarray, row: np.ndarray):
-        self.row = row * 257
+    def __init__(self, trees: np.ndarray, row: np.ndarray, digits: tuple[int, ...] = DIGITS):
+        self.row, self.digits = row * 257, digits
         trees = [Tree(c.tolist()) for c in trees]
         self.length = np.concatenate([t.length for t in trees])
         self.start = np.concatenate([[0], np.cumsum(self.length)])
@@ -134,7 +135,7 @@ class Coder:
         bit = (branch & np.uint32(1)).view(np.int32)
         branch &= ~np.uint32(1)
         slots = []
-        for c, digits in zip(hashes, DIGITS, strict=True):
+        for c, digits in zip(hashes, self.digits, strict=True):
             h = (c * MUL[0]).take(owner, mode="clip")
             h ^= branch
             h *= MUL[1]
@@ -161,42 +162,39 @@ class MixModel:
             self.logit.append((logit & ~15 | np.where(n > 8, 2, np.where(n > 0, 1, 0)) * place).astype(np.int32).view(np.float32))
 
     def bits_of(self, texts: list[bytes]) -> np.ndarray:
-        """Bits that each text and its end sign cost. Segments of SEGMENT bits keep their contexts but start with fresh weights."""
-        total, held, owner = np.zeros(len(texts)), [], []
-        first = 0
+        """Bits that each text and its end sign cost. Each text is one stream, from fresh weights."""
+        out, held, first = np.zeros(len(texts)), [], 0
         for group in batches_of(texts):
             slots, y, sizes = self.coder.bits_of(group)
             xs = [l.take(x, mode="clip") for l, x in zip(self.logit, slots, strict=True)]
             gate = ((xs[1].view(np.int32) & 15) + (xs[2].view(np.int32) & 15) + y).astype(np.int16)
             at = 0
             for k, n in enumerate(sizes.tolist()):
-                for s in range(0, n, SEGMENT):
-                    cut = slice(at + s, at + min(n, s + SEGMENT))
-                    held.append((*(x[cut] for x in xs), gate[cut]))
-                    owner.append(first + k)
+                held.append((n, first + k, *(x[at : at + n] for x in xs), gate[at : at + n]))
                 at += n
             first += len(group)
-        order = sorted(range(len(held)), key=lambda i: -len(held[i][0]))
-        for s in range(0, len(order), LANES):
-            group = order[s : s + LANES]
-            np.add.at(total, [owner[i] for i in group], self._mix([held[i] for i in group]))
-        return total
+        held.sort(key=lambda x: -x[0])
+        s = 0
+        while s < len(held):
+            lanes = held[s : s + max(1, PADDED // held[s][0])]
+            out[[x[1] for x in lanes]] = self._mix(lanes)
+            s += len(lanes)
+        return out
 
     @staticmethod
-    def _mix(lanes: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-        """Bits of each lane (logits of the predictors; gate and value of the bit); lanes come longest first and go on side by side."""
+    def _mix(lanes: list[tuple]) -> np.ndarray:
+        """Bits of each lane (size, place, logits of the predictors, gate and value of the bits); lanes come longest first and go on side by side."""
         n = len(lanes)
-        size = np.array([len(x[0]) for x in lanes])
+        size = np.array([x[0] for x in lanes])
         width = -(-int(size[0]) // BLOCK) * BLOCK
         spare = 32  # rows of a power of two would share the cache's lines
         xs = [np.zeros((n, width + spare), np.float32) for _ in range(3)]
         codes = np.zeros((n, width + spare), np.int16)
-        for i, (a, b, c, code) in enumerate(lanes):
-            k = len(code)
+        cost = np.zeros(n)
+        for i, (k, _, a, b, c, code) in enumerate(lanes):
             xs[0][i, :k], xs[1][i, :k], xs[2][i, :k], codes[i, :k] = a, b, c, code
         weights = [np.tile(START[:, j], n) for j in range(3)]
         level = np.tile((1 / (1 + np.exp(-(np.arange(LEVELS) - (LEVELS - 1) / 2) * (12 / LEVELS)))).astype(np.float32), n)
-        cost = np.zeros(n)
         steps = np.arange(BLOCK)
         gates, lane = (np.arange(n) * GATES)[:, None], (np.arange(n) * LEVELS)[:, None]
         half, rate, trust = np.float32(0.5), np.float32(RATE), np.float32(TRUST)
@@ -227,6 +225,7 @@ class MixModel:
             for x, w in zip(bx, weights, strict=True):
                 np.add.at(w, flat, (error * x).ravel())
             np.add.at(level, slot.ravel(), wrong.ravel())
+            np.clip(level, LEAST, 1 - LEAST, out=level)  # a whole block may push one level past a chance's bounds
         return cost / math.log(2)
 
 
@@ -284,10 +283,11 @@ def fit_mix(training: DataFrame, coder: Coder) -> MixModel:
     as they come in, then the sums, whose size the slots fix, go to the driver."""
     import pyarrow as pa
 
-    bounds = np.cumsum([0, *SIZES])
+    sizes = [1 << d for d in coder.digits]
+    bounds = np.cumsum([0, *sizes])
 
     def count(batches):
-        tables = [np.zeros((size, 2), np.uint32) for size in SIZES]
+        tables = [np.zeros((size, 2), np.uint32) for size in sizes]
         for b in batches:
             for p in pieces(b, 4 << 20):
                 for group in batches_of([lowered(t) for t in p.column(0).to_pylist()]):
@@ -339,6 +339,11 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def digits_for(size: int) -> tuple[int, ...]:
+    """Binary digits of the slots' numbers for so many bytes of training text: one more for each sixteenfold."""
+    return tuple(d + max(0, round(math.log(max(size, 1) / SMALL, 16))) for d in DIGITS)
+
+
 def score_lm(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """Per row: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte).
 
@@ -353,7 +358,8 @@ def score_lm(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     training = rows.where(~F.col("held_out"))
     counts = as_table(word_counts(training), "words")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    ends = training.count()
+    whole = training.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    ends = whole["rows"]
     n, v = (totals.n or 0) + ends, totals.v + (ends > 0)
     # words are ranked in steps of their count's logarithm, some thousand at most; whole steps are taken, from the top, as
     # long as TOP_WORDS holds them, and nothing but those words reaches the driver
@@ -365,7 +371,7 @@ def score_lm(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
             break
         least = r.step
     common = sorted((bytes(r.word), r.c) for r in counts.where(step >= least).collect())
-    model = fit_mix(training, Coder(*tree_counts(common, ends)))
+    model = fit_mix(training, Coder(*tree_counts(common, ends), digits_for(whole["bytes"] or 0)))
     bc = docs.sparkSession.sparkContext.broadcast(({w: math.log10(c + 1) for w, c in common}, model))
     below = math.log10(n + v + 1)
 
