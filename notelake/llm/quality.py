@@ -1,4 +1,4 @@
-"""Operator 3: quality classifier. Neighbour voting among labelled documents in a latent space of text-surface trigrams."""
+"""Operator 3: quality classifier. Neighbour voting among labelled documents in a latent space of words, letters and the text's surface."""
 
 from __future__ import annotations
 
@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, map_arrow
+from .suffix_order import word_bounds, word_hashes
 
 CLASSES = 16
-BINS = CLASSES**3 + 11
+SURFACE = CLASSES**3 + 11
+LETTERS, WORDS = 2048, 4096  # hashed features: three letters in a row, and words
+BINS = SURFACE + LETTERS + WORDS
 PER_CLASS = 2000  # labelled rows of each class that are learned from, at most
-LATENT = 32
+LATENT = 48
 NEIGHBOURS = 25
 BLOCK = 1024
 
@@ -30,23 +33,37 @@ def _table() -> np.ndarray:
 CLASS_OF = _table()
 
 
-def surface(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sparse features of a whole text: class trigrams (runs of letters of one case count once), and the shares of repeated lines and words in tenths."""
+def shares(bins: np.ndarray, size: int, at: int, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """The bins that occur, from `at` on, and the roots of their shares times weight."""
+    counts = np.bincount(bins, minlength=size)
+    some = np.flatnonzero(counts)
+    return some + at, weight * np.sqrt(counts[some] / max(len(bins), 1))
+
+
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse features of a whole text: class trigrams (runs of letters of one case count once), the share of repeated lines, trigrams of bytes and words in lower case."""
     raw = text.encode("utf-8", "replace")
     c = CLASS_OF[np.frombuffer(raw, np.uint8)]
     if len(c):
         keep = np.ones(len(c), bool)
         keep[1:] = (c[1:] != c[:-1]) | (c[1:] > 2)
         c = c[keep].astype(np.int32)
-    grams = np.bincount(c[:-2] * CLASSES**2 + c[1:-1] * CLASSES + c[2:], minlength=BINS).astype(np.float32) if len(c) > 2 else np.zeros(BINS, np.float32)
-    at = np.flatnonzero(grams)
-    val = np.sqrt(grams[at] / max(grams.sum(), 1))
+    parts = [shares(c[:-2] * CLASSES**2 + c[1:-1] * CLASSES + c[2:], CLASSES**3, 0, 1.0)] if len(c) > 2 else []
     lines = [x for x in raw.split(b"\n") if x]
-    if len(lines) > 1:
-        again = 1 - len(Counter(lines)) / len(lines)
-        if again > 0:
-            at, val = np.append(at, CLASSES**3 + min(10, int(again * 10))), np.append(val, 0.5 * again)
-    return at.astype(np.int32), val.astype(np.float32)
+    again = 1 - len(Counter(lines)) / len(lines) if len(lines) > 1 else 0
+    if again > 0:
+        parts.append((np.array([CLASSES**3 + min(10, int(again * 10))]), np.array([0.5 * again])))
+    low = raw.lower()
+    if len(low) > 2:
+        x = np.frombuffer(low, np.uint8).astype(np.uint32)
+        three = (x[:-2] | x[1:-1] << np.uint32(8) | x[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)
+        parts.append(shares((three >> np.uint32(32 - 11)).astype(np.int64), LETTERS, SURFACE, 0.5))
+    starts, ends = word_bounds(low)
+    if len(starts):
+        parts.append(shares((word_hashes(low, starts, ends) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 12)).astype(np.int64), WORDS, SURFACE + LETTERS, 0.5))
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    return np.concatenate([a for a, _ in parts]).astype(np.int32), np.concatenate([v for _, v in parts]).astype(np.float32)
 
 
 class QualityModel:
@@ -79,7 +96,7 @@ class QualityModel:
         for s in range(0, len(texts), BLOCK):
             block = np.zeros((len(texts[s : s + BLOCK]), self.basis.shape[1]), np.float32)
             for i, t in enumerate(texts[s : s + BLOCK]):
-                at, val = surface(t)
+                at, val = features(t)
                 block[i] = (val * self.weight[at]) @ self.basis[at]
             block = _unit(block)
             cos = block @ self.vectors.T
@@ -99,27 +116,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """(doc_id, text, y): at most per_class rows of either label outside the held-out fold, those with the smallest hash of the id.
 
     Both limits are top-k by hash over all labelled rows that have a document; the chosen ids number 2 * per_class at
-    most, which bounds the broadcast."""
+    most, which bounds the broadcast. Of texts that share an id, the one with the smallest MD5 is taken."""
     y = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     y = y.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     ids = None
     for k in (0, 1):
         part = y.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    one = F.min(F.struct(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), "text", "y")).alias("one")
+    return found.groupBy("doc_id").agg(one).select("doc_id", "one.text", "one.y")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, per_class: int = PER_CLASS) -> QualityModel:
     """Fits on a bounded sample: per_class labelled rows of either class at most. Features are computed on the executors."""
 
     def f(cols):
-        rows = [surface(x or "") for x in cols["text"]]
-        return {"doc_id": cols["doc_id"], "y": cols["y"], "at": [a.tolist() for a, _ in rows], "val": [v.tolist() for _, v in rows]}
+        rows = [features(x or "") for x in cols["text"]]
+        return {"k": cols["k"], "y": cols["y"], "at": [a.tobytes() for a, _ in rows], "val": [v.tobytes() for _, v in rows]}
 
     sample = labelled_sample(docs, labels, "quality", folds, fold, per_class)
-    got = map_arrow(sample.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "y"), f, "doc_id string, y int, at array<int>, val array<float>").collect()
-    got.sort(key=lambda r: r.doc_id)
-    return QualityModel([(np.array(r["at"], np.int32), np.array(r["val"], np.float32)) for r in got], [r.y for r in got])
+    got = map_arrow(sample.select(F.concat_ws("|", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("k"), "text", "y"), f, "k string, y int, at binary, val binary").collect()
+    got.sort(key=lambda r: r.k)
+    return QualityModel([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["val"], np.float32)) for r in got], [r.y for r in got])
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3, keep: bool = False) -> DataFrame:

@@ -101,16 +101,38 @@ def test_quality(spark, docs, empty):
     assert quality.score_quality(empty, quality.fit_quality(empty, labels)).count() == 0
     kept = quality.score_quality(docs, quality.fit_quality(docs, labels.limit(0)), keep=True)
     assert got(kept) == got(docs)
-    assert CLASS_TOTAL == 256
 
 
-CLASS_TOTAL = len(quality.CLASS_OF)
+def test_quality_votes_as_plain_cosines_do(docs):
+    """Scores against a plain loop over all labelled vectors; meaning counts, not looks alone: the words decide between texts of one shape."""
+    r = random.Random(31)
+    good, bad = ([f"{a}{b}" for a in x for b in ("ro", "ta", "lin")] for x in (("mel", "kor", "vin"), ("zug", "xaq", "pfu")))
+    texts = [" ".join(r.choice((bad, good)[k % 2]) for _ in range(40)) for k in range(80)]
+    model = quality.QualityModel([quality.features(t) for t in texts], [k % 2 for k in range(80)])
+    new = [" ".join(r.choice((bad, good)[k % 2]) for _ in range(30)) for k in range(20)] + ["", "word " * 50_000]
+    got_ = model.scores(new, 7)
+    for t, s in zip(new, got_, strict=True):
+        at, val = quality.features(t)
+        x = np.zeros(quality.BINS)
+        x[at] = val
+        x = (x * model.weight) @ model.basis.astype(float)
+        if not x.any():
+            assert s == pytest.approx(0.5)
+            continue
+        cos = sorted(((float(x @ v) / float(np.linalg.norm(x)), y) for v, y in zip(model.vectors, model.y, strict=True)), reverse=True)[:7]
+        w = [max(c, 0) ** 4 + 1e-9 for c, _ in cos]
+        assert s == pytest.approx(sum(a * y for a, (_, y) in zip(w, cos, strict=True)) / sum(w), abs=2e-3)
+    assert all((s > 0.5) == (k % 2 == 1) for k, s in enumerate(got_[:20]))
 
 
 def test_toxicity(spark, docs, empty):
     assert held_accuracy(spark, "op9_toxicity", "toxic") > 0.9
-    base = spark.read.parquet("/root/testdata/check_s/documents.parquet").where("doc_id < 6000")
-    model = toxicity.fit_toxicity(base, spark.read.parquet("/root/testdata/check_s/labels.parquet"))
+    r = random.Random(17)
+    plain = "what a fine day it is and we went there with the others so that all of them could see how good the house was in the end".split()
+    rude = ["idiot", "stupid", "moron", "loser"]
+    rows = [(k, " ".join(x), int(k % 3 == 0)) for k in range(600) for x in [[*r.choices(plain, k=12), *([r.choice(rude)] if k % 3 == 0 else [])]] if not r.shuffle(x)]
+    base = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity(base.select("doc_id", "text"), base.select("doc_id", "toxic"))
     for bad in ("you 1d10t there", "an i d i o t he", "so stuuupid", "what a m.o.r.o.n", "LOSER"):
         assert model.score(bad) > 0.5, bad
     for fine in ("a fine day", "", "it is 10:30 on 3rd street", "the and of thon"):
@@ -178,6 +200,42 @@ def test_mixing_is_a_distribution_and_learns():
     assert fit.bits_of([b"the other then"])[0] < 0.5 * blank.bits_of([b"the other then"])[0]
     one = np.concatenate([fit.bits_of([t]) for t in texts[:6]])
     assert np.allclose(one, fit.bits_of(texts[:6]))
+    assert sum(2.0 ** -fit.bits_of([bytes([a])])[0] for a in range(256)) < 1
+
+
+def test_mixing_equals_a_plain_loop():
+    """One stream for each text, however long: bit after bit, weights and levels changed once a block."""
+    r = random.Random(4)
+    texts = [(" ".join(r.choice(["the", "then", "other", "on", "x1"]) for _ in range(n))).encode() for n in (1, 40, 900)] + [b""]
+    coder = lm_scoring.Coder(*lm_scoring.tree_counts([(b"the", 9), (b"other", 5)], 3))
+    tables = [np.zeros((s, 2), np.int64) for s in lm_scoring.SIZES]
+    for x, t in zip((b := coder.bits_of(texts[1:2]))[0], tables, strict=True):
+        np.add.at(t, (x, b[1]), 1)
+    model = lm_scoring.MixModel(coder, [(t[:, 0], t[:, 1]) for t in tables])
+    L = lm_scoring.LEVELS
+    for text, total in zip(texts, model.bits_of(texts), strict=True):
+        slots, y, _ = coder.bits_of([text])
+        xs = [[float(l[k]) for k in x] for l, x in zip(model.logit, slots, strict=True)]
+        seen = [[int(np.float32(v).view(np.int32)) & 15 for v in x] for x in xs]
+        w = [list(map(float, row)) for row in lm_scoring.START]
+        level = [1 / (1 + math.exp(-(i - (L - 1) / 2) * (12 / L))) for i in range(L)]
+        cost, at = 0.0, 0
+        while at < len(y):
+            dw, dl = [[0.0] * 3 for _ in w], [0.0] * L
+            for i in range(at, min(at + lm_scoring.BLOCK, len(y))):
+                g = (seen[1][i] + seen[2][i]) >> 1
+                logit = sum(xs[k][i] * w[g][k] for k in range(3))
+                p, k = 1 / (1 + math.exp(-logit)), int(min(max(logit * L / 12 + L / 2, 0), L - 1))
+                mixed = (p + level[k]) / 2
+                cost -= math.log2(max(mixed if y[i] else 1 - mixed, 1e-6))
+                dl[k] += lm_scoring.TRUST * (y[i] - level[k])
+                for j in range(3):
+                    dw[g][j] += lm_scoring.RATE * (y[i] - p) * xs[j][i]
+            w = [[a + b for a, b in zip(row, d, strict=True)] for row, d in zip(w, dw, strict=True)]
+            level = [min(max(a + b, float(lm_scoring.LEAST)), 1 - float(lm_scoring.LEAST)) for a, b in zip(level, dl, strict=True)]
+            at += lm_scoring.BLOCK
+        assert total == pytest.approx(cost, rel=2e-3, abs=0.05)
+    assert lm_scoring.digits_for(0) == lm_scoring.digits_for(1 << 28) == lm_scoring.DIGITS and lm_scoring.digits_for(1 << 36)[0] == lm_scoring.DIGITS[0] + 2
 
 
 def closure(ids, linked):
