@@ -146,7 +146,7 @@ def toxic_model():
     chars = Counter()
     for w in "what you are an idiot a stupid moron so is he the fine day we went there and here it was good loser".split():
         chars.update(f"^^{w}$"[i : i + 3] for i in range(len(w) + 1))
-    return toxicity.ToxicModel({g: n * 50 for g, n in chars.items()}, {"idiot": 0.9, "stup*": 0.9, "moron": 0.9}, 0.01)
+    return toxicity.ToxicModel({g: n * 50 for g, n in chars.items()}, {"idiot": (6.0, 1.0, 0.0), "stup*": (6.0, 0.0, 0.0), "moron": (6.0, 0.0, 0.0), "fine": (-0.5, 0.0, 0.0)}, -4.5)
 
 
 def test_spread_words_anywhere_in_a_run():
@@ -157,6 +157,21 @@ def test_spread_words_anywhere_in_a_run():
         assert model.score(fine) < 0.3, fine
 
 
+def test_logistic_weights_equal_a_plain_fit():
+    """Weights at which the penalised loss is flat, for and against; a score is the plain sum of its features' weights."""
+    r = np.random.default_rng(5)
+    x = (r.random((300, 6)) < 0.3).astype(float)
+    y = (x @ [3, -2, 0, 1, 0, 0] + r.standard_normal(300) * 0.5 > 0.4).astype(float)
+    extra = r.random(300) * 3
+    w, slope, bias = toxicity.logistic([np.flatnonzero(row).tolist() for row in x], extra, y, 6, 1.0, 2000)
+    p = 1 / (1 + np.exp(-(x @ w + slope * extra + bias)))
+    assert np.abs(x.T @ (p - y) + w).max() < 0.05 and abs((p - y).sum()) < 0.05 and w[0] > 1 and w[1] < -0.5
+    model = toxicity.ToxicModel({}, {"abcd*": (1.0, 2.0, -0.5), "xyz": (-1.0, 0.0, 0.0)}, -1.0, 0.25)
+    for text, total in (("", 0), ("abcdx", 1), ("abcdx abcdy xyz", 1 + 2 - 1), ("abcd1q abcdx abcdy abcdz abcdw " * 500, 1 + 2 - 0.5)):
+        n = len(set(text.split()))
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(1 - total - 0.25 * math.log1p(n))))
+
+
 def test_disguise_in_tokens_of_any_length_and_by_every_sign():
     model = toxic_model()
     assert all(toxicity.DISGUISED.search(f"m{c}oron") for c in (toxicity.BETWEEN | set(toxicity.LEET)) - {"\n", "\t", " "})
