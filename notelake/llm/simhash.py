@@ -279,7 +279,8 @@ def text_key():
 
 
 def simhash_duplicates(docs: DataFrame, size: int = 5, radius: int = 8, similarity: float | None = 0.8) -> DataFrame:
-    """Per row of docs: (doc_id, fp, component_id), with similarity also key, the text's MD5; component_id is the smallest doc_id reachable over links.
+    """Per row of docs: (doc_id, fp, component_id), with similarity also key, the text's MD5, and component, which
+    tells components of one component_id apart where ids repeat; component_id is the smallest doc_id reachable over links.
 
     Without `similarity`, rows link whose fingerprints differ in at most `radius` bits. With it, rows link whose shingle sets
     have that Jaccard similarity, however far their fingerprints are apart (see similar_links). Texts are read whole; null and
@@ -315,8 +316,8 @@ def simhash_duplicates(docs: DataFrame, size: int = 5, radius: int = 8, similari
         links = fingerprint_links(nodes.select("fp", F.col("named").alias("node")), radius)
     roots = components(links, "a", "b").select(F.col("node").alias("named"), "root")
     # a node without links is its own component; of ids that are all null, none is the least
-    by_key = as_table(nodes.join(roots, "named", "left").select(key, F.when(F.col("root").isNotNull(), id_of("root", kind)).otherwise(F.col("least")).alias("component_id")), "classes")
-    return found.join(by_key, key).select("doc_id", "fp", "component_id", *(["key"] if key == "node" else []))
+    by_key = as_table(nodes.join(roots, "named", "left").select(key, F.when(F.col("root").isNotNull(), id_of("root", kind)).otherwise(F.col("least")).alias("component_id"), F.coalesce("root", "named").alias("component")), "classes")
+    return found.join(by_key, key).select("doc_id", "fp", "component_id", *(["key", "component"] if key == "node" else []))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -326,7 +327,7 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     an id stay. Other columns are carried along, whatever their names."""
     (key,) = unused(docs, "key")
     found = simhash_duplicates(docs.where("doc_id is not null").select("doc_id", "text"), size=size, similarity=similarity)
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("one")).select(F.col("one.doc_id").alias("doc_id"), F.col("one.key").alias(key))
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("one")).select(F.col("one.doc_id").alias("doc_id"), F.col("one.key").alias(key))
     kept = docs.where("doc_id is not null").withColumn(key, text_key()).join(first, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
