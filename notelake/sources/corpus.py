@@ -47,18 +47,26 @@ def prepare(spark: SparkSession, folder: str, out: str, config: dict | None = No
     if is_ready(spark, target, config):
         return target
     params = parameters(config)
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        """Written and read again: later stages read it many times, and no plan grows."""
+        path = f"{out.rstrip('/')}/stages-{config_hash(config)}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     scheme = (config.get("encoding") or {}).get("scheme", "event")
     given = midi_tables(spark, folder, **params)
-    notes = engine.run(spark, "kept_notes", **given, **params)
-    split = engine.run(spark, "piece_split", notes=notes, pieces=notes.select("piece_id").distinct(), **params)
-    keys = engine.run(spark, "keys", notes=notes, **params).join(split, "piece_id").where("k = 0 or split = 'train'")
+    given = {k: stage(x, k) for k, x in given.items() if k != "raw_seconds"}
+    notes = stage(engine.run(spark, "kept_notes", **given, **params), "notes")
+    split = stage(engine.run(spark, "piece_split", notes=notes, pieces=notes.select("piece_id").distinct(), **params), "split")
+    keys = stage(engine.run(spark, "keys", notes=notes, **params).join(split, "piece_id").where("k = 0 or split = 'train'"), "keys")
     moved = notes.join(keys, "piece_id").select(F.xxhash64("piece_id", "k").alias("piece_id"), "st", (F.col("pitch") + F.col("k")).alias("pitch"), "ds", "vel")
     codec = Encoder(scheme, **{k: v for k, v in params.items()})
     seqs = keys.select(F.xxhash64("piece_id", "k").alias("seq_id"), "split")
-    symbols = codec.encode(moved).withColumnRenamed("piece_id", "seq_id").join(seqs, "seq_id")
+    symbols = stage(codec.encode(moved).withColumnRenamed("piece_id", "seq_id").join(seqs, "seq_id"), "symbols")
     tokens = symbols.select("seq_id", "pos", "symbol", F.lit(None).cast("string").alias("style"))
     docs = seqs.select(F.col("seq_id").alias("doc_id"), F.lit("").alias("text"), "split")
-    vocab = engine.run(spark, "train_vocab", tokens=tokens, doc_split=docs, declared=codec.vocabulary(spark), **params)
+    vocab = stage(engine.run(spark, "train_vocab", tokens=tokens, doc_split=docs, declared=codec.vocabulary(spark), **params), "vocab")
     ids = engine.run(spark, "encode_ids", tokens=tokens, vocab_ids=vocab).join(seqs, "seq_id")
     set_aside(spark, target, vocab)
     return save_processed(ids.select("split", "seq_id", "pos", "id"), vocab, out, config, folder)
@@ -78,6 +86,10 @@ def evaluate(spark: SparkSession, arms: dict[str, str], reference: str | None =
     if reference:
         got = engine.run(spark, "kept_notes", **midi_tables(spark, reference, **params), **params).withColumn("piece_id", F.xxhash64("piece_id", F.lit("reference"), F.lit(1)))
         notes, ref = notes.unionByName(got), got.select("piece_id").distinct()
+    notes = notes.persist()  # every metric reads them; a lost part is read from the files again
     pieces = notes.select("piece_id").distinct().withColumn("style", F.lit(None).cast("string")).withColumn("skip_reason", F.lit(None).cast("string"))
     rows = engine.run(spark, "evaluate_report", notes=notes, pieces=pieces, labelled=labels, reference_pieces=ref, **params)
-    return sorted(rows.where("label <> 'all'").collect(), key=lambda r: list(arms).index(r.label))
+    try:
+        return sorted(rows.where("label <> 'all'").collect(), key=lambda r: list(arms).index(r.label))
+    finally:
+        notes.unpersist()
