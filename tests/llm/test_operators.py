@@ -566,6 +566,20 @@ def test_suffix_dedup_with_frequent_lines_between_unique_text(spark, monkeypatch
         assert got(suffix_dedup.cut_digests(df, length)) == brute_cut(rows, length), (group, length)
 
 
+def test_spans_of_large_groups_move_a_row_a_place(spark, monkeypatch):
+    """One passage in many different texts, and two in some: no row for each window or span on the way back to the places."""
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 9)))
+    one, two = (" ".join(word() for _ in range(60)) for _ in range(2))
+    texts = [" ".join([word(), word(), one, word(), *([two] * (k % 3)), word(), word()]) for k in range(40)]
+    plans, table = [], suffix_dedup.as_table
+    monkeypatch.setattr(suffix_dedup, "as_table", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or table(df, tag))
+    monkeypatch.setattr(suffix_dedup, "GROUP", 1)
+    kept = {x.doc_id: x.text for x in suffix_dedup.cut_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 50, words=True).collect()}
+    assert [kept[i] for i in range(len(texts))] == brute_words(texts, 50)
+    assert plans and not any("Generate" in x for x in plans)
+
+
 def test_suffix_order():
     r = random.Random(6)
     for _ in range(400):
