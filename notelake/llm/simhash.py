@@ -278,9 +278,10 @@ def text_key():
     return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
 
 
-def simhash_duplicates(docs: DataFrame, size: int = 5, radius: int = 8, similarity: float | None = 0.8) -> DataFrame:
+def simhash_duplicates(docs: DataFrame, size: int = 5, radius: int = 8, similarity: float | None = 0.8, fingerprints: bool = True) -> DataFrame:
     """Per row of docs: (doc_id, fp, component_id), with similarity also key, the text's MD5, and component, which
     tells components of one component_id apart where ids repeat; component_id is the smallest doc_id reachable over links.
+    With similarity, fp decides nothing: without `fingerprints` it is neither made nor returned.
 
     Without `similarity`, rows link whose fingerprints differ in at most `radius` bits. With it, rows link whose shingle sets
     have that Jaccard similarity, however far their fingerprints are apart (see similar_links). Texts are read whole; null and
@@ -294,11 +295,12 @@ def simhash_duplicates(docs: DataFrame, size: int = 5, radius: int = 8, similari
         return {"doc_id": c["doc_id"], "fp": [fingerprint(shingle_hashes(x or "", size)) for x in c["text"]]}
 
     def sets(c):
-        out: dict[str, list] = {"doc_id": c["doc_id"], "key": c["key"], "fp": [], "node": [], "bands": []}
+        out: dict[str, list] = {"doc_id": c["doc_id"], "key": c["key"], **({"fp": []} if fingerprints else {}), "node": [], "bands": []}
         for x in c["text"]:
             h = shingle_hashes(x or "", size)
             members = np.unique(h)
-            out["fp"].append(fingerprint(h))
+            if fingerprints:
+                out["fp"].append(fingerprint(h))
             out["node"].append(xxhash.xxh64_intdigest(members.tobytes()) - (1 << 63))
             out["bands"].append(band_keys(members))
         return out
@@ -308,7 +310,7 @@ def simhash_duplicates(docs: DataFrame, size: int = 5, radius: int = 8, similari
         key = "fp"
         links = None
     else:
-        found = as_table(map_arrow(docs.select("doc_id", "text", text_key().alias("key")), sets, f"doc_id {kind}, key string, fp long, node long, bands array<long>"), "fingerprints")
+        found = as_table(map_arrow(docs.select("doc_id", "text", text_key().alias("key")), sets, f"doc_id {kind}, key string, {'fp long, ' * fingerprints}node long, bands array<long>"), "fingerprints")
         key = "node"
         links = similar_links(found, docs, size, similarity)
     nodes = as_table(found.groupBy(key).agg(F.min("doc_id").alias("least")).select(key, "least", name_of(F.col("least"), kind, padded(key)).alias("named")), "nodes")
@@ -317,7 +319,7 @@ def simhash_duplicates(docs: DataFrame, size: int = 5, radius: int = 8, similari
     roots = components(links, "a", "b").select(F.col("node").alias("named"), "root")
     # a node without links is its own component; of ids that are all null, none is the least
     by_key = as_table(nodes.join(roots, "named", "left").select(key, F.when(F.col("root").isNotNull(), id_of("root", kind)).otherwise(F.col("least")).alias("component_id"), F.coalesce("root", "named").alias("component")), "classes")
-    return found.join(by_key, key).select("doc_id", "fp", "component_id", *(["key", "component"] if key == "node" else []))
+    return found.join(by_key, key).select("doc_id", *(["fp"] if "fp" in found.columns else []), "component_id", *(["key", "component"] if key == "node" else []))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -326,7 +328,7 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     A row is told by its id and its text, so texts that share an id are judged apart, and of equal rows one stays. Rows without
     an id stay. Other columns are carried along, whatever their names."""
     (key,) = unused(docs, "key")
-    found = simhash_duplicates(docs.where("doc_id is not null").select("doc_id", "text"), size=size, similarity=similarity)
+    found = simhash_duplicates(docs.where("doc_id is not null").select("doc_id", "text"), size=size, similarity=similarity, fingerprints=False)
     first = found.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("one")).select(F.col("one.doc_id").alias("doc_id"), F.col("one.key").alias(key))
     kept = docs.where("doc_id is not null").withColumn(key, text_key()).join(first, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -634,6 +634,22 @@ def test_near_duplicate_stage_equals_exact_components(spark):
     assert sorted(kept) == sorted(i for i in sets if root[i] == i)
 
 
+def test_near_duplicate_stage_computes_only_what_decides(spark, monkeypatch):
+    """Whole sets decide, so no fingerprint is made; what follows reads the kept rows only."""
+    import corpus_pipeline as p
+
+    def unwanted(h):
+        raise AssertionError("a fingerprint that decides nothing")
+
+    plain = [f"w{k}" for k in range(90)]
+    rows = [(4, " ".join(plain)), (2, " ".join([*plain[:-1], "other"])), (9, " ".join(plain)), (7, "something else altogether"), (8, " ".join(plain[:45]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "fingerprint", unwanted)
+    kept = p.near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 7, 8]
+    assert sorted(r.doc_id for r in p.encoding(spark, kept, "").collect()) == [2, 7, 8]
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline as p
 
