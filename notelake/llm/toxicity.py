@@ -5,20 +5,22 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_table, held_out, map_arrow
 from .prefix_bpe import Recent
-from .quality import labelled_sample
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 BETWEEN = set(" .-_*~'·/,\t\n​­")
-PER_CLASS = 3000  # labelled rows of each class that are learned from, at most
 CANDIDATES = 2000  # features that get a weight: those that tell the classes apart best
+ROWS = 50_000  # whose gradient a task sums, about
 LEVELS = 3  # a feature counts anew for the second and the third distinct word that shows it
 STRONG = 1.0  # weight from which a feature is looked for inside text without blanks
 CUT = "\"'`.,;:!?()[]{}<>*#%&$|~^-_=/\\«»“”‘’…"
@@ -28,6 +30,7 @@ ANY_LEET, ANY_BETWEEN = f"[{re.escape(''.join(LEET))}]", f"[{re.escape(''.join(s
 SPREAD = re.compile(r"(?<!\S)(?:[^\W_][ \t.\-_*]{1,3}|[@$!|+(€£¡][ \t.\-_*]{1,3}){3,}(?:[^\W_]|[@$!|+(€£¡])(?!\w)")
 #: every sign that the lattice knows
 DISGUISED = re.compile(rf"{LETTERS}.*{ANY_LEET}|{ANY_LEET}.*{LETTERS}|({LETTERS})\1\1|{LETTERS}{ANY_BETWEEN}+{LETTERS}")
+TRIPLE = re.compile(rf"({LETTERS})\1\1")
 APART = re.compile(f"{ANY_BETWEEN}+")
 LONG = 40  # letters, of which no plain word has as many: words that stand without blanks
 
@@ -97,7 +100,15 @@ def restore(word: str, model: CharModel) -> str:
 
 def features(word: str) -> list[str]:
     """A restored word, and its beginnings: stems show in inflected forms."""
-    return [word, *(f"{word[:n]}*" for n in (4, 5, 6) if len(word) >= n)]
+    n = len(word)
+    if n < 4:
+        return [word]
+    out = [word, word[:4] + "*"]
+    if n > 4:
+        out.append(word[:5] + "*")
+        if n > 5:
+            out.append(word[:6] + "*")
+    return out
 
 
 def segments(run: str, longest: int = 24) -> set[str]:
@@ -112,6 +123,11 @@ def tokens(text: str) -> tuple[set[str], list[str]]:
     return set(low.split()), [m.group() for m in SPREAD.finditer(low)]
 
 
+def disguised(word: str) -> bool:
+    """Whether DISGUISED finds anything in a word; of letters between marks that are no sign there, only three of one in a row can be."""
+    return bool((TRIPLE if word.strip(".,;:?\"'").isalpha() else DISGUISED).search(word))
+
+
 class Restorer:
     """Restored forms of words, cached; a word without any sign of disguise is its own."""
 
@@ -122,7 +138,7 @@ class Restorer:
     def forms(self, word: str) -> tuple[str, ...]:
         plain = word.strip(CUT)
         found = (plain,) if plain else ()
-        if DISGUISED.search(word):
+        if disguised(word):
             inner = word.strip(".,;:?\"'()[]{}<>#%&*-_=")
             more = {restore(x, self.model) for x in {inner, plain} if x and DISGUISED.search(x)}
             for x in APART.split(inner):  # words that only a sign parts
@@ -137,7 +153,7 @@ class Restorer:
 
 class ToxicModel:
     """The letter model, and a logistic model: a bias, a weight for the logarithm of a text's distinct words (held within what the
-    sample has seen), and weights of features for the first, the second and the third distinct word that shows them."""
+    learned texts have), and weights of features for the first, the second and the third distinct word that shows them."""
 
     def __init__(self, chars: dict[str, int], weights: dict[str, tuple[float, ...]], bias: float, length: float = 0.0, seen: tuple[float, float] = (0.0, 50.0)):
         self.chars, self.weights, self.bias, self.length, self.seen = chars, weights, bias, length, seen
@@ -185,95 +201,213 @@ class ToxicModel:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, total))))
 
 
-def logistic(rows: list[list[int]], extra: np.ndarray, y: np.ndarray, size: int, penalty: float = 0.5, steps: int = 400) -> tuple[np.ndarray, float, float]:
-    """Weights of `size` yes-or-no features, of one number, and a bias, by accelerated gradient steps on the penalised log loss."""
-    x = np.zeros((len(rows), size + 2), np.float32)
-    for i, at in enumerate(rows):
-        x[i, at] = 1
-    x[:, size], x[:, size + 1] = (extra - extra.mean()) / (extra.std() + 1e-9), 1
-    keep = np.append(np.full(size + 1, penalty), 0).astype(np.float32)
-    bound = np.float32(0.25 * np.linalg.norm(x[: min(len(x), 6000)], 2) ** 2 + penalty)
-    w = np.zeros(size + 2, np.float32)
-    z, t = w, 1.0
+class Shown:
+    """The features that the words of texts show, cached by word; with `only`, those of them."""
+
+    def __init__(self, chars: dict[str, int], only: frozenset[str] | None = None):
+        self.chars, self.only = chars, only
+        self.restorer: Restorer | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"restorer": None}
+
+    def by(self, word: str) -> tuple[str, ...]:
+        found = {g for form in self.restorer.forms(word) for g in features(form) if self.only is None or g in self.only}
+        out = tuple(found)
+        if len(word) < 64:
+            self.restorer.seen.put(word, out)
+        return out
+
+    def of(self, text: str) -> tuple[int, Counter]:
+        """How many distinct words a text has, and by how many of them each feature is shown."""
+        self.restorer = self.restorer or Restorer(CharModel(self.chars))
+        words, runs = tokens(text)
+        new, get, each = self.restorer.seen.new.get, self.restorer.seen.get, []
+        for w in words:
+            if (h := new(w)) is None and (h := get(w)) is None:
+                h = self.by(w)
+            if h:
+                each.append(h)
+        each += [[g for g in features(self.restorer.spread(x)) if self.only is None or g in self.only] for x in runs]
+        return len(words), Counter(chain.from_iterable(each))
+
+
+def block_loss(w: np.ndarray, flat: np.ndarray, sizes: np.ndarray, extra: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """The log loss of some rows and its gradient: rows of `sizes` yes-or-no features, whose numbers stand in flat, one number, a constant."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    z = np.bincount(row, w[flat], len(sizes)) + w[-2] * extra + w[-1]
+    d = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+    return float((np.logaddexp(0, z) - y * z).sum()), np.append(np.bincount(flat, d[row], len(w) - 2), [d @ extra, d.sum()])
+
+
+def least_loss(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], w: np.ndarray, scale: np.ndarray, penalty: float, steps: int, close: float = 2e-3) -> np.ndarray:
+    """Weights of the least penalised loss (the last one is free of the penalty), by L-BFGS from w. loss gives a value and a gradient;
+    scale is about the curvature in each direction. Ends where no part of the gradient exceeds `close` roots of the curvature."""
+    keep = np.append(np.full(len(w) - 1, penalty), 0)
+    unit = 1 / np.sqrt(scale + keep)
+
+    def at(x):
+        value, slope = loss(x * unit)
+        return value + 0.5 * float(keep @ (x * unit) ** 2), (slope + keep * x * unit) * unit
+
+    x = w / unit
+    value, g = at(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ z, -50, 50)))
-        after = z - (x.T @ (p - y).astype(np.float32) + keep * z) / bound
-        t_after = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        z, w, t = after + np.float32((t - 1) / t_after) * (after - w), after, t_after
-    slope = float(w[size]) / float(extra.std() + 1e-9)
-    return w[:size], slope, float(w[size + 1]) - slope * float(extra.mean())
+        if np.abs(g).max() <= close:
+            break
+        way, ks = g.copy(), []
+        for s, t in reversed(past):
+            ks.append(s @ way / (s @ t))
+            way -= ks[-1] * t
+        if past:
+            way *= past[-1][0] @ past[-1][1] / (past[-1][1] @ past[-1][1])
+        for (s, t), k in zip(past, reversed(ks), strict=True):
+            way += (k - t @ way / (s @ t)) * s
+        step = 1.0
+        while True:
+            after = x - step * way
+            value_after, g_after = at(after)
+            if value_after <= value - 1e-4 * step * (way @ g) or step < 1e-6:
+                break
+            step /= 4
+        s, t = after - x, g_after - g
+        if s @ t > 1e-12:
+            past = [*past[-19:], (s, t)]
+        x, value, g = after, value_after, g_after
+    return x * unit
+
+
+def logistic(rows: list[list[int]], extra: np.ndarray, y: np.ndarray, size: int, penalty: float = 0.5, steps: int = 400) -> tuple[np.ndarray, float, float]:
+    """Weights of `size` yes-or-no features, of one number, and a bias, of the least penalised log loss over rows at hand."""
+    flat, sizes = np.array([g for row in rows for g in row], np.int64), np.array([len(row) for row in rows])
+    even = (extra - extra.mean()) / (extra.std() + 1e-9)
+    w = least_loss(lambda w: block_loss(w, flat, sizes, even, y), np.zeros(size + 2), np.append(np.bincount(flat, minlength=size), [len(y)] * 2) / 4, penalty, steps)
+    return unscaled(w, float(extra.mean()), float(extra.std()))
+
+
+def unscaled(w: np.ndarray, mean: float, deviation: float) -> tuple[np.ndarray, float, float]:
+    slope = float(w[-2]) / (deviation + 1e-9)
+    return w[:-2], slope, float(w[-1]) - slope * mean
+
+
+def logistic_of_table(each: DataFrame, seen: list[int], penalty: float = 0.5, steps: int = 200) -> tuple[np.ndarray, float, float, tuple[float, float]]:
+    """As logistic, over all rows of a table (y, n, ids), and the least and largest number. seen: rows of each feature.
+
+    Each step sums the gradients of all rows: a task sends one vector. The number is the logarithm of n + 1."""
+    size = F.log1p("n")
+    mean, deviation, lo, hi, rows, bad = each.agg(F.avg(size), F.stddev_pop(size), F.min(size), F.max(size), F.count("*"), F.sum("y")).first()
+    each = each.coalesce(1 + rows // ROWS)
+
+    def loss(w):
+        def run(batches):
+            value, slope = 0.0, np.zeros(len(w))
+            for b in batches:
+                ids = b.column(2)
+                extra = (np.log1p(b.column(1).to_numpy()) - mean) / (deviation + 1e-9)
+                v, g = block_loss(w, ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()), extra, b.column(0).to_numpy())
+                value, slope = value + v, slope + g
+            yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([slope.tobytes()], pa.binary())], ["value", "slope"])
+
+        got = each.select("y", "n", "ids").mapInArrow(run, "value double, slope binary").collect()
+        return sum(r.value for r in got), sum(np.frombuffer(r.slope) for r in got)
+
+    share = bad / rows
+    start = np.append(np.zeros(len(seen) + 1), math.log(share / (1 - share)))
+    w = least_loss(loss, start, np.append(seen, [rows] * 2) * share * (1 - share), penalty, steps, 0.01)
+    return *unscaled(w, mean, deviation), (lo, hi)
+
+
+def level(g: str, k: int) -> str:
+    """The name of a feature that k distinct words show; no feature holds a blank."""
+    return g if k == 1 else f"{g} {k}"
 
 
 def levels(found: Counter) -> list[str]:
     """A feature's names: its own, and one for each further distinct word that shows it, up to LEVELS."""
-    return [g if k == 1 else f"{g}#{k}" for g, n in found.items() for k in range(1, min(n, LEVELS) + 1)]
+    return [level(g, k) for g, n in found.items() for k in range(1, min(n, LEVELS) + 1)]
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int) -> DataFrame:
+    """(text, y): every distinct text with a label outside the held-out fold, once, with its largest label.
 
+    Of texts that share an id, the one with the smallest MD5 is taken. Texts move once, to the row that stands for their copies."""
+    y = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), folds, fold)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    own = docs.where("doc_id is not null and text is not null").where(~held_out(F.col("doc_id"), folds, fold)).select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("key"))
+    first = own.groupBy("doc_id").agg(F.min("key").alias("key")).join(y, "doc_id").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"))
+    return own.join(first, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("text", "y")
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, per_class: int = PER_CLASS) -> ToxicModel:
-    """Learns on a bounded sample: per_class labelled rows of either class at most, equal texts once.
 
-    Letter trigrams of the sample's words give the letter model (its alphabet's commonest 20,000). Features (words and their
+def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2) -> ToxicModel:
+    """Learns from all labelled rows outside the fold, equal texts once.
+
+    Letter trigrams of their words give the letter model (its alphabet's commonest 20,000). Features (words and their
     beginnings) are counted per text; those that tell the classes apart best, by the likelihood ratio, get weights for and against
-    toxicity by penalised logistic regression on the driver, over at most 2 * per_class rows. The bias is set back to the share of
-    toxic labels outside the fold."""
-    sample = labelled_sample(docs, labels, "toxic", folds, fold, per_class).select("text", "y").where("text is not null").groupBy("text").agg(F.max("y").alias("y"))
+    toxicity by penalised logistic regression over all these rows, whose gradients the executors sum."""
+    known = as_table(labelled_texts(docs, labels, "toxic", folds, fold), "labelled")
 
     def grams(cols):
-        c: Counter = Counter()
+        words: Counter = Counter()
         for t in cols["text"]:
-            for w in set(t.lower().split()):
-                w = w.strip(CUT)
-                if w.isalpha() and len(w) < 40:
-                    s = f"^^{w}$"
-                    c.update(s[i : i + 3] for i in range(len(s) - 2))
+            words.update(set(t.lower().split()))
+        c: Counter = Counter()
+        for w, n in words.items():
+            w = w.strip(CUT)
+            if w.isalpha() and len(w) < 40:
+                s = f"^^{w}$"
+                for i in range(len(s) - 2):
+                    c[s[i : i + 3]] += n
         return {"g": list(c), "n": list(c.values())}
 
-    counted = map_arrow(sample.select("text"), grams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(20_000).collect()
+    counted = map_arrow(known.select("text"), grams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(20_000).collect()
     chars = {r.g: r.n for r in counted}
+    total = known.agg(F.sum("y").alias("bad"), F.count("*").alias("n")).first()
+    if not total.bad or total.bad == total.n:
+        return ToxicModel(chars, {}, math.log(((total.bad or 0) + 0.01) / (total.n - (total.bad or 0) + 1)))
+    shown = Shown(chars)
 
-    def rows(cols):
-        r = Restorer(CharModel(chars))
-        out: dict[str, list] = {"id": [], "y": [], "n": [], "g": []}
+    def count(cols):
+        counts = [(Counter(), Counter()) for _ in range(LEVELS)]
         for t, y in zip(cols["text"], cols["y"], strict=True):
-            words, runs = tokens(t)
-            found = Counter(g for w in words for g in {g for form in r.forms(w) for g in features(form)})
-            found.update(g for x in runs for g in features(r.spread(x)))
-            out["id"].append(hash_of(t))
-            out["y"].append(y)
-            out["n"].append(len(words))
-            out["g"].append(levels(found))
+            found = shown.of(t)[1]
+            for k, (n, b) in enumerate(counts):
+                if k:
+                    found = {g: m for g, m in found.items() if m > k}
+                n.update(found.keys())
+                if y:
+                    b.update(found.keys())
+        out: dict[str, list] = {"g": [], "n": [], "b": []}
+        for k, (n, b) in enumerate(counts, 1):
+            out["g"] += [level(g, k) for g in n] if k > 1 else n
+            out["n"] += n.values()
+            out["b"] += [b.get(g, 0) for g in n]
         return out
 
-    each = as_table(map_arrow(sample.select("text", "y"), rows, "id long, y int, n int, g array<string>"), "toxic-features")
-    heads = sorted(each.select("id", "y", "n").collect())
-    y = np.array([r.y for r in heads], float)
-    if not len(y) or y.min() == y.max():
-        return ToxicModel(chars, {}, math.log((y.sum() + 0.01) / (len(y) - y.sum() + 1)))
-    bad, all_ = float(y.sum()), float(len(y))
+    bad, all_ = float(total.bad), float(total.n)
     part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(0.0)
-    per = each.select("y", F.explode("g").alias("g")).groupBy("g").agg(F.sum("y").cast("double").alias("b"), F.count("*").cast("double").alias("n")).where("n >= 3")
+    per = map_arrow(known, count, "g string, n long, b long", most=32 << 20).groupBy("g").agg(F.sum("b").cast("double").alias("b"), F.sum("n").cast("double").alias("n")).where("n >= 3")
     share = F.col("n") * bad / all_
     gain = part(F.col("b"), share) + part(F.col("n") - F.col("b"), F.col("n") - share) + part(bad - F.col("b"), bad - share) + part(all_ - F.col("n") - bad + F.col("b"), all_ - F.col("n") - bad + share)
-    chosen = [r.g for r in per.withColumn("gain", gain).orderBy(F.desc("gain"), "g").limit(CANDIDATES).collect()]
-    number = {g: i for i, g in enumerate(chosen)}
-    known = docs.sparkSession.createDataFrame([(g,) for g in chosen], "g string")
-    held = {r.id: r.g for r in each.select("id", F.explode("g").alias("g")).join(F.broadcast(known), "g").groupBy("id").agg(F.collect_list("g").alias("g")).collect()}
-    size = np.log1p([r.n for r in heads])
-    w, slope, bias = logistic([[number[g] for g in held.get(r.id, ())] for r in heads], size, y, len(chosen))
-    told = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"), folds, fold)).agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).first()
-    bias += math.log((told.bad + 0.5) / (told.n - told.bad + 0.5)) - math.log(bad / (all_ - bad))
+    chosen = [(r.g, r.n) for r in per.withColumn("gain", gain).orderBy(F.desc("gain"), "g").limit(CANDIDATES).collect()]
+    number = {g: i for i, (g, _) in enumerate(chosen)}
+    few = Shown(chars, frozenset(g.partition(" ")[0] for g in number))
+
+    def rows(cols):
+        out: dict[str, list] = {"y": cols["y"], "n": [], "ids": []}
+        for t in cols["text"]:
+            n, found = few.of(t)
+            out["n"].append(n)
+            out["ids"].append([number[g] for g in levels(found) if g in number])
+        return out
+
+    each = as_table(map_arrow(known, rows, "y int, n int, ids array<int>"), "toxic-features")
+    w, slope, bias, seen = logistic_of_table(each, [n for _, n in chosen])
     weights: dict[str, list[float]] = {}
-    for g, x in zip(chosen, w.tolist(), strict=True):
-        name, _, k = g.partition("#")
+    for (g, _), x in zip(chosen, w.tolist(), strict=True):
+        name, _, k = g.partition(" ")
         if abs(x) > 0.01:
             weights.setdefault(name, [0.0] * LEVELS)[int(k or 1) - 1] = x
-    return ToxicModel(chars, {g: tuple(x) for g, x in weights.items()}, bias, slope, (float(size.min()), float(size.max())))
-
-
-def hash_of(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+    return ToxicModel(chars, {g: tuple(x) for g, x in weights.items()}, bias, slope, seen)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) -> DataFrame:

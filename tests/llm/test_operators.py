@@ -142,6 +142,28 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_toxicity(empty, none).count() == 0 and toxicity.score_toxicity(docs, none).where("predicted = 1").count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Words that few of many labelled rows hold get their weight; the bias fits the labels of all rows, not of some."""
+    r = random.Random(29)
+    plain = "what a fine day it is and we went there with the others so that all of them could see how good the house was in the end".split()
+    rare = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(50)]
+    free = [k for k in range(9000) if zlib.crc32(str(k).encode()) % 4 != 2]
+    holds = {k: rare[i % 50] for i, k in enumerate(x for x in r.sample(free, 6000) if x < 7500) if i < 150}
+    rows = [(k, " ".join([*r.sample(plain, 10), *([holds[k]] if k in holds else [])]), int(k < 7500 and (k in holds or k % 5 > 0))) for k in range(9000)]
+    rows.append((9000, "c#b a#2 c#b", 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert all(sum(model.weights[w]) > 0.1 for w in rare)
+    for w in ("".join(r.choices("aabßé.,'!?1$-_:(\u200b", k=r.randint(1, 7))) for _ in range(20_000)):
+        assert toxicity.disguised(w) == bool(toxicity.DISGUISED.search(w)), w
+    learned = {}
+    for k, t, y in rows:
+        if zlib.crc32(str(k).encode()) % 4 != 2:
+            learned[t] = max(y, learned.get(t, 0))
+    assert abs(sum(model.score(t) - y for t, y in learned.items())) < 0.005 * len(learned)
+    assert spark.createDataFrame([(t, y) for t, y in learned.items()], "text string, y int").exceptAll(toxicity.labelled_texts(df, df, "toxic", 4, 2)).count() == 0
+
+
 def toxic_model():
     chars = Counter()
     for w in "what you are an idiot a stupid moron so is he the fine day we went there and here it was good loser".split():
