@@ -620,6 +620,25 @@ def test_suffix_order():
         assert repeated_spans(texts, length) == [merge([(i, i + length) for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1]) for t in texts]
 
 
+def test_matches_that_begin_with_a_word_here_and_inside_one_there(monkeypatch):
+    """A string of 400 bytes that begins with a word of one text and inside a word of another; what is around its start repeats in two more."""
+    r = random.Random(44)
+    word = lambda: "".join(r.choice("bcdefgh") for _ in range(r.randint(2, 9)))
+    some = lambda n: " ".join(word() for _ in range(n)) + " "
+    one, two, tail = some(10) + "a ", some(10) + "xa ", some(90)[:398]
+    texts = [(some(20) + x).encode() for x in (one + tail + "! " + some(9), two + tail + "? " + some(9), one + tail[:200] + "# ", two + tail[:200] + "; ")]
+    want = [merge([(k, k + 400) for k in range(len(t) - 399) if sum(t[k : k + 400] in x for x in texts) > 1]) for t in texts]
+    assert [len(x) for x in want] == [1, 1, 0, 0] and repeated_spans(texts, 400) == want
+    monkeypatch.setattr("notelake.llm.suffix_order.GRAM", 4)
+    for _ in range(300):
+        length = r.choice([12, 24, 40])
+        words = r.sample(["a ", "xa ", "bxa ", "b\n", "ab ", " ", "cab ", "n\n", "ein "], r.randint(2, 6))
+        base = [r.choice(words) for _ in range(50)]
+        texts = ["".join(r.choice(words) if r.random() < 0.06 else w for w in base[r.randint(0, 20) :]).encode() for _ in range(5)]
+        seen = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+        assert repeated_spans(texts, length) == [merge([(i, i + length) for i in range(len(t) - length + 1) if seen[t[i : i + length]] > 1]) for t in texts]
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_queries_run(spark, name):
     table = {"op6_embedding_dedup": "embeddings", "op8_warc": "pages"}.get(name, "documents")
